@@ -5,19 +5,22 @@ source that lies before it, all rows are sorted by that fraction and the order i
 cut into equal runs. Every run then holds each source in the corpus' proportion.
 
 Ranks are exact and no window holds a whole source: the hash space of a source
-and the fractions are divided into ranges of about ``RANGE_ROWS`` rows, a row is
-ranked within its range, and the sizes of the ranges before it are added.
+and the fractions are divided into as many ranges as a range has rows (the root of
+all rows), a row is ranked within its range, and the sizes of the ranges before it are
+added. Both the ranges' rows and their number grow with the root only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for
 
-#: Rows that one ranking window holds on average.
-RANGE_ROWS = 20_000
+#: Rows that one ranking window holds at least, on average.
+RANGE_ROWS = 400
 #: Hexadecimal digits of MD5 that make the shuffle key.
 KEY_DIGITS = 15
 
@@ -54,7 +57,7 @@ def shard_rows(
         )
     )
     total = rows.count()
-    ranges = parts_for(total, range_rows)
+    ranges = parts_for(total, max(range_rows, math.isqrt(total)))
     tie = ["key", "doc_id", "text_crc32", "size"]
 
     # Rank of a row in its source: rows in the ranges before, then within its own.
