@@ -166,7 +166,7 @@ def occurrences(docs: DataFrame, items: list[tuple], window: int, row: str) -> D
             runs: list[list] = [[] for _ in count]
             found: list[list] = [[] for _ in count]
             hit, at = np.unique(doc, return_index=True)
-            for d, i, j in zip(hit.tolist(), at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
+            for d, i, j in zip(hit.tolist(), at.tolist(), np.append(at, len(doc))[1:].tolist(), strict=True):
                 runs[d] = covered(start[i:j] - first[d], w.width[window[i:j]])
                 found[d] = sorted({x for k in np.unique(window[i:j]).tolist() for x in w.items[k] if x is not None})
             yield pa.RecordBatch.from_arrays(
