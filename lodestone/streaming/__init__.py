@@ -1,0 +1 @@
+"""The engine is a batch engine; batch operators work on Structured Streaming frames where Spark allows it."""
