@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+
+from ..operators.lineage import cut
+
+__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "cut", "parts_for", "segments"]
 
 #: Columns of a documents table, in the order pipeline stages return them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,22 +17,6 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SEGMENT_BYTES = 4 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are written once and survive lost executors.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; a private one is
-    made only if the session names none (as in tests).
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def parts_for(rows: int, per_part: int) -> int:
     """How many parts of about ``per_part`` rows hold ``rows`` rows."""
     return max(1, math.ceil(rows / per_part))

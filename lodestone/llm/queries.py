@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets, sharding, token_counts
+from . import decontaminate, line_dedup, near_dedup, neighbours, pieces, quality, secrets, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +26,13 @@ def on_two(f: Callable[[DataFrame, DataFrame], DataFrame], other: str) -> Query:
 ORACLES: dict[str, str] = {}
 QUERIES: dict[str, Query] = {
     "op1_secrets": on_documents(secrets.op1_secrets),
+    "op2_quality": on_two(quality.op2_quality, "labels"),
     "op3_sharding": on_documents(sharding.op3_sharding),
+    "op4_toxicity": on_two(toxicity.op4_toxicity, "labels"),
     "op5_decontaminate": on_two(decontaminate.op5_decontaminate, "benchmark"),
     "op6_token_counts": on_documents(token_counts.op6_token_counts),
+    "op7_pieces": on_documents(pieces.op7_pieces),
+    "op8_line_dedup": on_documents(line_dedup.op8_line_dedup),
+    "op9_near_dedup": on_documents(near_dedup.op9_near_dedup),
+    "op10_neighbours": lambda spark, sf_dir: neighbours.op10_neighbours(table(spark, sf_dir, "embeddings")),
 }

@@ -20,7 +20,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that parts a text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths that one summing window holds.
-LENGTH_RANGE = 4096
+LENGTH_RANGE = 128
 
 
 def encoder(ranks: bytes):
