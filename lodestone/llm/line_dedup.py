@@ -2,8 +2,8 @@
 
 A line's spread is the number of distinct sites (sources) it occurs on. HyperLogLog
 sketches of sites, one for each line hash, are built where the lines are and merged by
-the aggregation. Lines whose estimate is near the threshold get an exact distinct count
-by their text; lines far above it are boilerplate at once, lines far below are not.
+the aggregation. Lines whose estimate is near the threshold get an exact distinct
+count; lines far above it are boilerplate at once, lines far below are not.
 
 A line can't be on more sites than it has occurrences, so lines that occur less often
 than the least spread that matters get no sketch; that loses none.
@@ -26,44 +26,53 @@ LEAST_SITES, LEAST_CHARS = 6, 10
 BAND = 2.0
 SKETCH_BITS = 10
 MOST_LOST = 0.5
+#: Lines (16 bytes each) that are broadcast at most.
+MOST_BROADCAST = 200_000
 
 #: Identifies a row; equal rows have equal results.
 ROW = "xxhash64(cast(doc_id as long), cast(text as string), cast(source as string))"
 
 
+#: Two hashes with different seeds identify a line.
+LINE = ["h1", "h2"]
+
+
 def lines_of(rows: DataFrame) -> DataFrame:
-    """``row, source, pos, line, hash`` of the trimmed lines that are long enough."""
+    """``row, source, pos, chars, h1, h2`` of the trimmed lines that are long enough; no text travels further."""
     each = rows.select("row", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     each = each.select("row", "source", "pos", F.trim("raw").alias("line")).where(F.length("line") >= LEAST_CHARS)
-    return each.withColumn("hash", F.xxhash64("line"))
+    return each.select(
+        "row", "source", "pos", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
+    )
 
 
-def spread_lines(lines: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
-    """``hash, line``: the lines on ``least_sites`` sites or more; ``line`` is null where the hash decides.
+def bounded(lines: DataFrame) -> DataFrame:
+    """A checkpointed set of lines, marked for broadcast if it is small."""
+    return F.broadcast(lines) if lines.count() <= MOST_BROADCAST else lines
 
-    ``lines`` has ``source, line, hash``; a null source is no site.
-    """
+
+def spread_lines(lines: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
+    """``h1, h2`` of the lines on ``least_sites`` sites or more; a null source is no site."""
     low, high = least_sites / BAND, least_sites * BAND
-    often = lines.where("source is not null").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_sites)
-    often = often.select("hash")
-    # Equal (line, site) pairs meet before the sketches, so one common line is no long task.
-    sites = cut(lines.join(often, "hash").where("source is not null").groupBy("hash", "line", "source").agg(F.count(F.lit(1)).alias("n")))
-    sketched = sites.groupBy("hash").agg(F.hll_sketch_agg("source", F.lit(SKETCH_BITS)).alias("sketch"))
-    estimate = sketched.select("hash", F.hll_sketch_estimate("sketch").alias("sites"))
-    near = estimate.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("hash")
-    exact = sites.join(near, "hash").groupBy("hash", "line").agg(F.count_distinct("source").alias("sites"))
-    sure = estimate.where(F.col("sites") > high).select("hash", F.lit(None).cast("string").alias("line"))
-    return sure.union(exact.where(F.col("sites") >= least_sites).select("hash", "line"))
-
-
-def find_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, most_lost: float = MOST_LOST) -> DataFrame:
-    """``row, drop``: for each document with boilerplate to remove, the sorted positions of its lines."""
+    # Equal (line, site) pairs meet where they are, so one common line is no long task.
+    sites = cut(lines.where("source is not null").groupBy(*LINE, "source").agg(F.count(F.lit(1)).alias("n")))
+    often = sites.groupBy(*LINE).agg(F.sum("n").alias("n")).where(F.col("n") >= least_sites).select(*LINE)
+    sites = cut(sites.join(often, LINE).select(*LINE, "source"))
+    sketched = sites.groupBy(*LINE).agg(F.hll_sketch_agg("source", F.lit(SKETCH_BITS)).alias("sketch"))
+    estimate = cut(sketched.select(*LINE, F.hll_sketch_estimate("sketch").alias("sites")))
+    near = estimate.where((F.col("sites") >= low) & (F.col("sites") <= high)).select(*LINE)
+    exact = sites.join(near, LINE).groupBy(*LINE).agg(F.count_distinct("source").alias("sites"))
+    sure = estimate.where(F.col("sites") > high).select(*LINE)
+    return sure.union(exact.where(F.col("sites") >= least_sites).select(*LINE))
+
+
+def find_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
+    """``row, drop, lost``: for each document with such lines, their sorted positions and characters."""
     rows = docs.selectExpr(f"{ROW} as row", "cast(text as string) as text", "cast(source as string) as source")
     lines = lines_of(rows)
-    spread = cut(spread_lines(lines, least_sites))
-    hits = lines.join(spread.withColumnRenamed("line", "is"), "hash").where("is is null or is = line")
+    spread = bounded(cut(spread_lines(lines, least_sites)))
     # Equal rows have equal lines; one of each is enough.
-    hits = hits.groupBy("row", "pos").agg(F.first(F.length("line")).alias("chars"))
+    hits = lines.select("row", "pos", "chars", *LINE).join(spread, LINE).groupBy("row", "pos").agg(F.first("chars").alias("chars"))
     return hits.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("drop"), F.sum("chars").alias("lost"))
 
 
@@ -76,7 +85,7 @@ def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, most_los
     occurrences, not their sites; an empty table gives no rows. ``n_dropped`` counts
     removed lines.
     """
-    found = find_boilerplate(docs, least_sites, most_lost).toDF("__row", "__drop", "__lost")
+    found = find_boilerplate(docs, least_sites).toDF("__row", "__drop", "__lost")
     kept = docs.withColumn("__row", F.expr(ROW)).join(found, "__row", "left")
     mostly = F.col("__lost") > most_lost * F.length("text")
     drop = F.when(F.col("__drop").isNull() | mostly, F.array().cast("array<int>")).otherwise(F.col("__drop"))
