@@ -15,8 +15,10 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +33,7 @@ MOST_BROADCAST = 1_000_000
 #: Characters of a word that one long's bits can part; longer words are folded in Python.
 MOST_BITS = 60
 #: Bytes of text whose words are looked up together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each bucket that the words are dealt to.
 BUCKET_BYTES = 12 << 20
 #: Between words that travel together; between fields of an encoded word.
@@ -60,8 +62,9 @@ class Vocabulary:
 def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     """Read a model's pieces on the driver; executors need no copy of the file.
 
-    Normalization must leave texts as they are but for the space mark, and no piece may
-    hold a mark after another character or a line break; both are checked.
+    Normalization must leave texts as they are but for the space mark, no piece may
+    hold a mark after another character or a line break, and one pass over merges must be
+    exact; all are checked.
     """
     import sentencepiece
 
@@ -79,7 +82,10 @@ def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     for probe in ("a  b", " ﬁ X", "İ½"):
         if model.decode(model.encode(probe)) != probe:
             raise ValueError("the model normalizes texts")
-    return Vocabulary(tuple(plain), tuple(raw), kind, model.unk_id())
+    vocabulary = Vocabulary(tuple(plain), tuple(raw), kind, model.unk_id())
+    if kind == "bpe" and not steady(vocabulary):
+        raise ValueError("a later merge of this model makes an earlier one possible")
+    return vocabulary
 
 
 #: A break, marks with what follows them, or marks alone.
@@ -87,8 +93,11 @@ PART = re.compile(f"[{BREAKS}]|{MARK}*[^{MARK}{BREAKS}]+|{MARK}+")
 
 
 def words_of(text: str) -> list[str]:
-    """The parts of a text (spaces marked, one mark put first) that no piece reaches across."""
-    return PART.findall(MARK + text.replace(" ", MARK)) if text else []
+    """The parts of a text (spaces marked, one mark put first) that no piece reaches across; some may be empty."""
+    if "  " in text or MARK in text or GAP in text or FIELD in text or text.startswith(" "):
+        return PART.findall(MARK + text.replace(" ", MARK))
+    # The same for texts without runs of marks, by splitting alone.
+    return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ") if text else []
 
 
 BLOCK = "block long, packed binary"
@@ -124,7 +133,7 @@ def block_words(packed: DataFrame, buckets: int) -> DataFrame:
                 found: set[str] = set()
                 for text in unpack(raw).column("text").to_pylist():
                     found.update(words_of(text or ""))
-                found.difference_update(BREAKS)
+                found.difference_update([*BREAKS, ""])
                 dealt: list[list[str]] = [[] for _ in range(buckets)]
                 for word in sorted(found):
                     dealt[zlib.crc32(word.encode()) % buckets].append(word)
@@ -137,72 +146,89 @@ def block_words(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.mapInArrow(run, "bucket int, block long, words string")
 
 
-def lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``bucket, word, n, edges``: each distinct word's edges ``(rank, s, l, id, score)``, best score first.
+#: Bits of a packed edge: its place in the order of merges, its start, its length.
+START_BITS, LENGTH_BITS = 28, 12
 
-    Substrings up to the longest piece are exploded and equi-joined to the pieces.
-    ``words`` is partitioned by ``bucket``, so nothing is shuffled.
-    """
-    pieces = vocabulary.table(words.sparkSession)
-    if len(vocabulary.pieces) <= MOST_BROADCAST:
-        pieces = F.broadcast(pieces)
-    spans = words.withColumn("n", F.length("word")).withColumn("s", F.explode(F.expr("sequence(0, n - 1)")))
-    spans = spans.withColumn("l", F.explode(F.expr(f"sequence(1, least({vocabulary.longest}, n - s))")))
-    edges = spans.withColumn("piece", F.expr("substring(word, s + 1, l)")).join(pieces, "piece", "left").where("id is not null or l = 1")
-    edge = F.struct((-F.col("score")).alias("rank"), "s", "l", "id", "score")
-    return edges.groupBy("bucket", "word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-#: Fold of the edges of a word of at most ``MOST_BITS`` characters by merges. Bit i of ``b`` says that a piece
-#: begins or ends before character i. A merge joins the two pieces that an edge spans exactly.
-MERGES = """aggregate(sequence(1, n - 1),
-    named_struct('b', shiftleft(1L, n + 1) - 1,
-      'left', transform(filter(edges, e -> e.l > 1), e -> named_struct(
-        'outer', shiftleft(1L, e.s) | shiftleft(1L, e.s + e.l),
-        'inner', shiftleft(shiftleft(1L, e.l - 1) - 1, e.s + 1)))),
-    (t, i) -> if(size(t.left) = 0, t, transform(
-      array(coalesce(t.b & ~filter(t.left, e -> bit_count(t.b & e.inner) = 1)[0].inner, t.b)),
-      b -> named_struct('b', b, 'left', if(b = t.b, slice(t.left, 1, 0),
-        filter(t.left, e -> (b & e.outer) = e.outer and (b & e.inner) != 0))))[0]),
-    t -> t.b)"""
-#: The pieces ``s:l:id`` between the borders of a word; a single character without a piece has the id -1.
-BORDERS = """transform(filter(sequence(0, n - 1), i -> getbit({b}, i) = 1), i -> transform(
-    array(filter(sequence(i + 1, n), j -> getbit({b}, j) = 1)[0]),
-    j -> coalesce(filter(edges, e -> e.s = i and e.l = j - i)[0].id, -1))[0])"""
-#: Viterbi over positions: the best score to reach each, from where, by which piece; then back from the end.
-FORWARD = """aggregate(sequence(1, n), array(named_struct('score', 0D, 'from', 0, 'id', -1)),
-    (t, j) -> concat(t, array(array_max(transform(filter(edges, e -> e.s + e.l = j), e -> named_struct(
-      'score', t[e.s].score + coalesce(e.score, {unknown}D), 'from', e.s, 'id', coalesce(e.id, -1)))))))"""
-BACK = """aggregate(sequence(1, n), named_struct('at', n, 'ids', cast(array() as array<int>)),
-    (t, i) -> if(t.at = 0, t, named_struct('at', path[t.at].`from`, 'ids', concat(array(path[t.at].id), t.ids))),
-    t -> t.ids)"""
+
+def merge_order(vocabulary: Vocabulary) -> list[tuple[str, int]]:
+    """Pieces of two characters and more in the order in which merges make them."""
+    longer = sorted((-score, i, p) for p, i, score in vocabulary.pieces if len(p) > 1)
+    return [(p, n) for n, (_, _, p) in enumerate(longer)]
 
 
-def folded(lattice: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``bucket, word, ids, edges``: the pieces of each word; long words keep their edges instead."""
-    if vocabulary.kind == "unigram":
-        # As the reference algorithm of unigram models: an uncovered character costs ten more than the worst piece.
-        unknown = min(s for _, _, s in vocabulary.pieces) - 10
-        return lattice.withColumn("path", F.expr(FORWARD.format(unknown=repr(float(unknown))))).select(
-            "bucket", "word", F.expr(BACK).alias("ids"), F.lit(None).cast("string").alias("edges")
-        )
-    short = f"n <= {MOST_BITS}"
-    parted = lattice.withColumn("b", F.expr(f"case when n = 1 then 3L when {short} then {MERGES} end"))
-    listed = "array_join(transform(edges, e -> concat_ws(':', e.rank, e.s, e.l, coalesce(e.id, -1))), ',')"
-    return parted.select(
-        "bucket", "word", F.expr(f"if({short}, {BORDERS.format(b='b')}, null)").alias("ids"), F.expr(f"if({short}, null, {listed})").alias("edges")
+def spans(words: DataFrame, longest: int, least: int) -> DataFrame:
+    """``bucket, word, n, s, l, piece``: every substring of ``least`` to ``longest`` characters."""
+    each = words.withColumn("n", F.length("word")).where(F.col("n") >= least)
+    each = each.withColumn("s", F.explode(F.expr(f"sequence(0, n - {least})")))
+    each = each.withColumn("l", F.explode(F.expr(f"sequence({least}, least({longest}, n - s))")))
+    return each.withColumn("piece", F.expr("substring(word, s + 1, l)"))
+
+
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
+
+
+def merge_lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``bucket, word, n, edges``: each word's pieces of two characters and more, packed, first merge first.
+
+    ``words`` is partitioned by ``bucket``, so nothing is shuffled. A word without such
+    pieces has no row.
+    """
+    order = merge_order(vocabulary)
+    pieces = words.sparkSession.createDataFrame(order, "piece string, place int")
+    edges = spans(words, vocabulary.longest, 2).join(bounded(pieces, len(order)), "piece")
+    packed = F.expr(f"shiftleft(cast(place as bigint), {START_BITS + LENGTH_BITS}) | shiftleft(cast(s as bigint), {LENGTH_BITS}) | l")
+    # The hash comes first: grouping sorts by it, and comparing numbers is quick.
+    grouped = edges.withColumn("hash", F.xxhash64("word")).groupBy("hash", "word", "bucket", "n")
+    return grouped.agg(F.sort_array(F.collect_list(packed)).alias("edges")).drop("hash")
+
+
+#: Bit i of ``b`` says that a piece begins or ends before character i. An edge joins the pieces it spans if there
+#: are exactly two; edges come in the order of merges, and a merge never makes an earlier one possible
+#: (:func:`steady`), so one pass does all.
+MERGES = f"""aggregate(
+    transform(edges, e -> named_struct('s', cast(shiftright(e, {LENGTH_BITS}) & {(1 << START_BITS) - 1} as int), 'l', cast(e & {(1 << LENGTH_BITS) - 1} as int))),
+    shiftleft(1L, n + 1) - 1,
+    (b, e) -> if(getbit(b, e.s) = 1 and getbit(b, e.s + e.l) = 1 and bit_count(shiftright(b, e.s + 1) & (shiftleft(1L, e.l - 1) - 1)) = 1,
+      b & ~shiftleft(shiftleft(1L, e.l - 1) - 1, e.s + 1), b))"""
+
+
+def merge_folds(lattices: DataFrame) -> DataFrame:
+    """``bucket, word, borders, edges``: where each word's pieces part, as bits; words that bits don't suit keep edges."""
+    suits = f"n <= {MOST_BITS} and not contains(word, '{MARK}{MARK}')"
+    return lattices.select(
+        "bucket", "word", F.expr(f"if({suits}, {MERGES}, null)").alias("borders"), F.expr(f"if({suits}, null, edges)").alias("edges")
     )
 
 
-def merged(n: int, edges: str) -> list[int]:
-    """The merges of a long word's edges, by a queue; the same rule as ``MERGES``."""
-    spans: dict[tuple[int, int], tuple[float, int]] = {}
-    for e in edges.split(",") if edges else []:
-        rank, s, size, piece = e.split(":")
-        spans[int(s), int(s) + int(size)] = (float(rank) if rank else 0.0, int(piece))
+def steady(vocabulary: Vocabulary) -> bool:
+    """Whether one pass in merge order is exact: all pieces but runs of marks, taken alone, are two pieces at their turn."""
+    place = dict(merge_order(vocabulary))
+    for piece, turn in place.items():
+        if piece.strip(MARK) == "":
+            continue
+        parts = list(piece)
+        while True:
+            ways = [(place.get(a + b, turn), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+            best = min(ways, default=(turn, 0))
+            if best[0] >= turn:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        if len(parts) != 2:
+            return False
+    return True
+
+
+def merged(word: str, edges: list[int] | None) -> list[str]:
+    """The merges of any word over its edges, by a queue: best first, then leftmost."""
+    n = len(word)
+    spans_: dict[tuple[int, int], int] = {}
+    for e in edges or []:
+        s = e >> LENGTH_BITS & (1 << START_BITS) - 1
+        spans_[s, s + (e & (1 << LENGTH_BITS) - 1)] = e >> START_BITS + LENGTH_BITS
     after = list(range(1, n + 1))  # where the piece that begins here ends; 0 if none begins
     before = list(range(-1, n))  # where the piece before begins
-    queue = [(spans[s, s + 2][0], s, s + 1, s + 2) for s in range(n - 1) if (s, s + 2) in spans]
+    queue = [(spans_[s, s + 2], s, s + 1, s + 2) for s in range(n - 1) if (s, s + 2) in spans_]
     heapq.heapify(queue)
     while queue:
         _, s, middle, end = heapq.heappop(queue)
@@ -212,33 +238,79 @@ def merged(n: int, edges: str) -> list[int]:
         if end < n:
             before[end] = s
         for a, b in ((before[s], s), (s, end)):
-            if a >= 0 and b < n and after[b] and (a, after[b]) in spans:
-                heapq.heappush(queue, (spans[a, after[b]][0], a, b, after[b]))
+            if a >= 0 and b < n and after[b] and (a, after[b]) in spans_:
+                heapq.heappush(queue, (spans_[a, after[b]], a, b, after[b]))
     out, s = [], 0
     while s < n:
-        out.append(spans.get((s, after[s]), (0.0, -1))[1])
+        out.append(word[s : after[s]])
         s = after[s]
     return out
 
 
-def with_bytes(word: str, ids: list[int], sizes: dict[int, int], vocabulary: Vocabulary) -> list[int]:
-    """Ids with the bytes of uncovered characters (or the unknown piece) in place of -1."""
-    if -1 not in ids:
-        return ids
-    out, at = [], 0
-    for i in ids:
-        if i >= 0:
-            out.append(i)
-            at += sizes[i]
-            continue
-        raw = [vocabulary.byte_ids[b] for b in word[at].encode()]
-        out += raw if min(raw) >= 0 else [vocabulary.unknown]
-        at += 1
-    return out
+def parted(word: str, borders: int) -> list[str]:
+    at = [i for i in range(len(word) + 1) if borders >> i & 1]
+    return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+#: Viterbi over positions: the best score to reach each, from where, by which piece; then back from the end.
+FORWARD = """aggregate(sequence(1, n), array(named_struct('score', 0D, 'from', 0, 'id', -1)),
+    (t, j) -> concat(t, array(array_max(transform(filter(edges, e -> e.s + e.l = j), e -> named_struct(
+      'score', t[e.s].score + coalesce(e.score, {unknown}D), 'from', e.s, 'id', coalesce(e.id, -1)))))))"""
+BACK = """aggregate(sequence(1, n), named_struct('at', n, 'ids', cast(array() as array<int>)),
+    (t, i) -> if(t.at = 0, t, named_struct('at', path[t.at].`from`, 'ids', concat(array(path[t.at].id), t.ids))),
+    t -> t.ids)"""
+
+
+def viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``bucket, word, ids``: the best path of a unigram model; -1 for a character that no piece covers."""
+    pieces = vocabulary.table(words.sparkSession)
+    edges = spans(words, vocabulary.longest, 1).join(bounded(pieces, len(vocabulary.pieces)), "piece", "left").where("id is not null or l = 1")
+    lattice = edges.groupBy("bucket", "word", "n").agg(F.collect_list(F.struct("s", "l", "id", "score")).alias("edges"))
+    # As unigram models have it, an uncovered character costs ten more than the worst piece.
+    unknown = min(s for _, _, s in vocabulary.pieces) - 10
+    return lattice.withColumn("path", F.expr(FORWARD.format(unknown=repr(float(unknown))))).select("bucket", "word", F.expr(BACK).alias("ids"))
+
+
+class Coder:
+    """What the assembly of words to ids and of ids to texts looks up."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.ids = {p: i for p, i, _ in vocabulary.pieces}
+        self.bytes, self.unknown = vocabulary.byte_ids, vocabulary.unknown
+        self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes) if i >= 0}
+
+    def fallback(self, character: str) -> list[int]:
+        """The bytes of a character that no piece covers, or the unknown piece."""
+        out = [self.bytes[b] for b in character.encode()]
+        return out if min(out) >= 0 else [self.unknown]
+
+    def of_parts(self, parts: list[str]) -> list[int]:
+        out: list[int] = []
+        for p in parts:
+            i = self.ids.get(p)
+            out += [i] if i is not None else self.fallback(p)
+        return out
+
+    def of_path(self, word: str, ids: list[int]) -> list[int]:
+        """A path's ids with the bytes of uncovered characters in place of -1."""
+        out, at = [], 0
+        for i in ids:
+            out += [i] if i >= 0 else self.fallback(word[at])
+            at += len(self.raw[i].decode()) if i >= 0 else 1
+        return out
+
+    def text(self, ids: list[int]) -> str:
+        """What pieces stand for; the first mark is the one put before the text."""
+        get = self.raw.get
+        out = b"".join([get(i, b"\xe2\x81\x87") for i in ids]).decode(errors="replace")
+        return out[1:] if out.startswith(" ") else out
+
+
+CODED = "doc_id long, ids array<int>, round_trip boolean"
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = None) -> DataFrame:
-    """``doc_id, text, ids``: the pieces of every row's whole text.
+    """``doc_id, ids, round_trip``: the pieces of every row's whole text, and whether they decode to it.
 
     A null or empty text has no pieces; repeated rows repeat; null ids stay null; an
     empty table gives no rows. Other columns aren't read.
@@ -255,64 +327,73 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
     # One exchange, read twice: both readers see the same blocks.
     packed = blocks(docs).repartition(parts_for(text_bytes, BLOCK_BYTES) + 7, "block")
     dealt = block_words(packed, buckets).repartition(buckets, "bucket")
-    words = dealt.select("bucket", F.explode(F.split("words", GAP)).alias("word")).groupBy("bucket", "word").agg(F.lit(1).alias("one"))
-    table = folded(lattices(words.select("bucket", "word"), vocabulary), vocabulary).withColumnRenamed("bucket", "of")
+    each = dealt.select("bucket", "block", F.explode(F.split("words", GAP)).alias("word"))
+    words = each.groupBy("bucket", "word").agg(F.min("block").alias("block")).select("bucket", "word")
+    unigram = vocabulary.kind == "unigram"
+    table = viterbi(words, vocabulary) if unigram else merge_folds(merge_lattices(words, vocabulary))
 
     def answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
-        v = known.value
-        sizes = {i: len(p) for p, i, _ in v.pieces}
+        coder = Coder(known.value)
+        columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
         ids: dict[str, str] = {}
-        for word, found, edges in zip(*(coded.column(c).to_pylist() for c in ("word", "ids", "edges")), strict=True):
-            found = merged(len(word), edges) if found is None else found
-            ids[word] = " ".join(map(str, with_bytes(word, found, sizes, v)))
-        raw = [GAP.join(w + FIELD + ids[w] for w in x.split(GAP)).encode() for x in asked.column("words").to_pylist()]
+        if unigram:
+            for word, path in zip(*columns, strict=True):
+                ids[word] = " ".join(map(str, coder.of_path(word, path)))
+        else:
+            for word, borders, edges in zip(*columns, strict=True):
+                parts = merged(word, edges) if borders is None else parted(word, borders)
+                ids[word] = " ".join(map(str, coder.of_parts(parts)))
+        raw = []
+        for listed in asked.column("words").to_pylist():
+            entries = []
+            for word in listed.split(GAP):
+                if word not in ids:  # no edge: every character is a part
+                    ids[word] = " ".join(map(str, coder.of_parts(list(word))))
+                entries.append(word + FIELD + ids[word])
+            raw.append(GAP.join(entries).encode())
         packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
         return pa.table([asked.column("block"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], ["block", "size", "pack"])
 
-    answers = dealt.groupBy("bucket").cogroup(table.groupBy("of")).applyInArrow(answer, "block long, size long, pack binary")
+    answers = dealt.groupBy("bucket").cogroup(table.withColumnRenamed("bucket", "of").groupBy("of")).applyInArrow(answer, "block long, size long, pack binary")
 
     def assemble(held: pa.Table, coded: pa.Table) -> pa.Table:
-        v = known.value
-        ids: dict[str, list[int]] = {b: with_bytes(b, [-1], {}, v) for b in BREAKS}
+        coder = Coder(known.value)
+        ids: dict[str, list[int]] = {b: coder.fallback(b) for b in BREAKS} | {"": []}
         for size, pack in zip(coded.column("size").to_pylist(), coded.column("pack").to_pylist(), strict=True):
             for entry in pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP):
                 word, _, listed = entry.partition(FIELD)
                 ids[word] = [int(x) for x in listed.split(" ")]
-        out_ids, out_texts, out_pieces = [], [], []
+        names: list[int | None] = []
+        values, offsets, trips = array("i"), [0], []
         for raw in held.column("packed").to_pylist():
             rows = unpack(raw)
-            out_ids += rows.column("doc_id").to_pylist()
+            names += rows.column("doc_id").to_pylist()
             for text in rows.column("text").to_pylist():
-                out_texts.append(text)
-                pieces: list[int] = []
-                for word in words_of(text or ""):
-                    pieces += ids[word]
-                out_pieces.append(pieces)
-        return pa.table([pa.array(out_ids, pa.int64()), pa.array(out_texts, pa.string()), pa.array(out_pieces, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
+                pieces = list(chain.from_iterable(map(ids.__getitem__, words_of(text or ""))))
+                values.extend(pieces)
+                offsets.append(len(values))
+                trips.append(coder.text(pieces) == (text or ""))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)]))
+        return pa.table([pa.array(names, pa.int64()), lists, pa.array(trips)], ["doc_id", "ids", "round_trip"])
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id long, text string, ids array<int>")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, CODED)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``decoded`` beside the other columns: the text that ``ids`` stand for; null for null."""
-    spark = rows.sparkSession
-    raw = {i: p.replace(MARK, " ").encode() for p, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids) if i >= 0}
-    sent = spark.sparkContext.broadcast(raw)
+    known = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        get = sent.value.get
-        joined = (None if x is None else b"".join(get(i, b"\xe2\x81\x87") for i in x).decode(errors="replace") for x in ids.to_pylist())
-        return pa.array([None if t is None else t[1:] if t.startswith(" ") else t for t in joined], pa.string())
+        coder = Coder(known.value)
+        return pa.array([None if x is None else coder.text(x) for x in ids.to_pylist()], pa.string())
 
     return rows.withColumn("decoded", text("ids"))
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, n_tokens, ids, round_trip`` of every row."""
-    vocabulary = load(model)
-    coded = decode(encode(docs, vocabulary), vocabulary)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode(docs, load(model)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op7_pieces(docs: DataFrame) -> DataFrame:
