@@ -63,7 +63,7 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def balanced_partitions(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 12) -> np.ndarray:
-    """A partition for each row: balanced starts by repeated halving, then moves along the graph.
+    """A partition for each row: balanced starts by repeated parting, then moves along the graph.
 
     In every round rows move to the partition that most of their neighbours are in, the
     most eager first, as long as it has room (a twentieth above the mean).
@@ -71,20 +71,21 @@ def balanced_partitions(x: np.ndarray, graph: np.ndarray, parts: int, rounds: in
     n = len(x)
     rng = np.random.default_rng(SEED)
     label = np.zeros(n, np.int64)
-    groups = [np.arange(n)]
-    while len(groups) < parts:
-        groups.sort(key=len)
-        g = groups.pop()
+    todo, made = [(np.arange(n), parts)], 0
+    while todo:
+        g, share = todo.pop()
+        if share == 1:
+            label[g] = made
+            made += 1
+            continue
         axis = x[g].mean(axis=0) + rng.normal(size=x.shape[1]) * 0.01
         centred = x[g] - x[g].mean(axis=0)
         for _ in range(8):  # the main direction, by power iteration
             axis = centred.T @ (centred @ axis)
             axis /= np.linalg.norm(axis) + 1e-12
         order = g[np.argsort(centred @ axis, kind="stable")]
-        groups += [order[: len(g) // 2], order[len(g) // 2 :]]
-    for i, g in enumerate(groups):
-        label[g] = i
-    parts = len(groups)
+        at = len(g) * (share // 2) // share
+        todo += [(order[:at], share // 2), (order[at:], share - share // 2)]
     room = math.ceil(1.05 * n / parts)
     source = np.repeat(np.arange(n), graph.shape[1])
     for _ in range(rounds):
@@ -176,7 +177,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def as_matrix(column: pa.Array) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.array(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(lists), -1)
+    flat = np.array(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
 def search(
@@ -198,47 +200,57 @@ def search(
     first = Window.partitionBy("same", "v").orderBy("vec_id")
     distinct = cut(rows.dropDuplicates(["vec_id", "same"]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1))
     points = distinct.where("nth = 1").select("same", "v")
-    taken = points.orderBy(F.xxhash64("same", F.lit(SEED))).limit(sample).collect()
-    router = spark.sparkContext.broadcast(fit(np.array([r.v for r in taken], np.float64).reshape(len(taken), -1), k, points.count()))
+    taken = as_matrix(points.orderBy(F.xxhash64("same", F.lit(SEED))).limit(sample).toArrow().column("v"))
+    router = spark.sparkContext.broadcast(fit(taken, k, points.count()))
 
-    def route(most: int | None):
+    def route(best_only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = router.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                parts = r.routes(as_matrix(batch.column("v")), r.probes if most is None else most)
-                at = np.repeat(np.arange(len(parts)), parts.shape[1])
-                kept = [batch.column(c).take(pa.array(at)) for c in batch.schema.names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(parts.ravel().astype(np.int32))], [*batch.schema.names, "part"])
+                parts = r.routes(as_matrix(batch.column("v")), 1 if best_only else r.probes)
+                at = pa.array(np.repeat(np.arange(len(parts)), parts.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("same").take(at), batch.column("v").take(at), pa.array(parts.ravel().astype(np.int32))], ["same", "v", "part"]
+                )
 
         return run
 
-    placed = cut(points.mapInArrow(route(1), "same long, v array<double>, part int"))
-    blocks = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    index = placed.join(blocks, "part").withColumn("block", F.pmod(F.col("same"), F.col("blocks")).cast("int")).select("part", "block", "same", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "same"]).select(F.col("vec_id").alias("query_id"), F.col("same").alias("own"), "v")
-    routed = asked.mapInArrow(route(None), "query_id long, own long, v array<double>, part int").join(blocks, "part")
-    routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "query_id", "own", "v")
-
-    def ranked(queries: pa.Table, indexed: pa.Table) -> pa.Table:
-        ids, same, scores = [], [], []
-        if indexed.num_rows and queries.num_rows:
+    routed = "same long, v array<double>, part int"
+    placed = cut(points.mapInArrow(route(True), routed))
+    queries = cut(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("same").alias("own")).distinct())
+    # Queries of equal vectors are asked once.
+    asked = cut(points.join(queries.select(F.col("own").alias("same")).distinct(), "same", "left_semi").mapInArrow(route(False), routed))
+    many = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    blocks = many(placed, "blocks").join(many(asked, "chunks"), "part")
+    own_of = lambda n: F.pmod(F.col("same"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = placed.join(blocks, "part").withColumn("block", own_of("blocks")).withColumn("chunk", all_of("chunks")).select("part", "block", "chunk", "same", "v")
+    asked = asked.join(blocks, "part").withColumn("chunk", own_of("chunks")).withColumn("block", all_of("blocks"))
+    asked = asked.select(F.col("part").alias("p"), F.col("block").alias("b"), F.col("chunk").alias("c"), F.col("same").alias("own"), "v")
+
+    def ranked(some: pa.Table, indexed: pa.Table) -> pa.Table:
+        own, same, scores = [], [], []
+        if indexed.num_rows and some.num_rows:
             x = as_matrix(indexed.column("v"))
             hashes = indexed.column("same").to_numpy()
-            asked_ids = queries.column("query_id").to_pylist()
-            for q, (near, score) in zip(asked_ids, top_of(list(as_matrix(queries.column("v"))), x, k + 1), strict=True):
-                ids += [q] * len(near)
+            names = some.column("own").to_pylist()
+            for q, (near, score) in zip(names, top_of(list(as_matrix(some.column("v"))), x, k + 1), strict=True):
+                own += [q] * len(near)
                 same += hashes[near].tolist()
                 scores += score.tolist()
-        return pa.table([pa.array(ids, pa.int64()), pa.array(same, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "same", "score"])
-
-    near = routed.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(ranked, "query_id long, same long, score double")
-    # The nearest k + 1 vectors of a query have its nearest k rows among their ids.
-    tied = near.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k + 1)
-    answers = tied.join(distinct.select("same", "vec_id"), "same").where("vec_id != query_id")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    answers = answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return pa.table([pa.array(own, pa.int64()), pa.array(same, pa.int64()), pa.array(scores, pa.float64())], ["own", "same", "score"])
+
+    near = asked.groupBy("p", "b", "c").cogroup(index.groupBy("part", "block", "chunk")).applyInArrow(ranked, "own long, same long, score double")
+    # The nearest k + 1 vectors have the nearest k + 1 rows among their ids, and those have the nearest k that aren't the query.
+    best = Window.partitionBy("own").orderBy(F.desc("score"))
+    near = near.withColumn("place", F.rank().over(best)).where(F.col("place") <= k + 1)
+    answers = near.join(distinct.select("same", "vec_id"), "same")
+    answers = answers.withColumn("place", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+    answers = queries.join(answers.select("own", "vec_id", "score"), "own").where("vec_id != query_id")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answers = answers.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     return answers.select("query_id", "rank", "vec_id", "score")
 
 
