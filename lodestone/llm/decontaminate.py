@@ -246,8 +246,12 @@ def op5_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, window: int = WINDOW_WORDS) -> DataFrame:
-    """The rows of documents in which windows of fewer than ``least_items`` items occur; all columns stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of documents in which windows of fewer than ``least_items`` items occur; all columns stay.
+
+    Needs ``doc_id`` and ``text``. A passage of a single item is enough by default: it
+    is a window's eight words in a row, which clean text doesn't hold by chance.
+    """
     found = find_contamination(docs, benchmark, window).where(F.size("items") >= least_items)
     bad = found.select(F.col("row").alias("__bad_row")).distinct()
     return docs.join(bad, F.expr(ROW) == F.col("__bad_row"), "left_anti")

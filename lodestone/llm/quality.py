@@ -10,12 +10,12 @@ labelled documents that neither has seen, and every document is scored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import segments
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MAX_LABELLED, m
 SCORED = "double"
 
 
-def score_column(model: Model, spark) -> "callable":
+def score_column(model: Model, spark: SparkSession) -> Callable:
     """A column function of ``text, lang, source, n_chars`` that gives the combined score."""
     sent = spark.sparkContext.broadcast(model)
 
@@ -207,6 +207,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("keep", F.col("quality_score") >= THRESHOLD)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their columns, of the documents that aren't rejected."""
+    return score_documents(docs, fit(docs, labels)).where("keep").select(*docs.columns)
+
+
 def op2_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's score and whether it is kept."""
     return score_documents(docs, fit(docs, labels)).select("doc_id", F.col("quality_score").alias("score"), "keep")

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, neighbours, pieces, quality, secrets, sharding, token_counts, toxicity
+from ..shipping import ship
+from . import decontaminate, line_dedup, near_dedup, neighbours, oracles, pieces, quality, secrets, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,7 +25,7 @@ def on_two(f: Callable[[DataFrame, DataFrame], DataFrame], other: str) -> Query:
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"), table(spark, sf_dir, other))
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
 QUERIES: dict[str, Query] = {
     "op1_secrets": on_documents(secrets.op1_secrets),
     "op2_quality": on_two(quality.op2_quality, "labels"),
