@@ -90,7 +90,10 @@ def joint_surprise(norm: np.ndarray) -> float:
             break
         total += x
         if total > 0:
-            log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r) if r > 1 else math.log(-math.expm1(-math.exp(-total)))
+            if r > 1:
+                log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
+            else:  # the chance of one such segment or more; minus the total where that is the same
+                log_p = -total if total > 30 else math.log(-math.expm1(-math.exp(-total)))
             best = max(best, -log_p - r * math.log(2) + math.log(2))
     return best
 

@@ -55,6 +55,12 @@ def test_rate_solves_its_equation():
     assert np.isclose((900 * np.exp(-rate) + 50 * np.exp(2 * rate) + np.exp(5 * rate)) / 951, 1, atol=1e-6)
 
 
+def test_any_surprise_has_a_logarithm():
+    for scores in ([], [0.1], [50.0], [5000.0], [800.0] * 100, [-3.0], [1e-9, 1e-9]):
+        assert 0 <= toxicity.joint_surprise(np.array(scores)) < float("inf")
+    assert toxicity.joint_surprise(np.array([40.0, 30.0])) > toxicity.joint_surprise(np.array([40.0])) > 39
+
+
 def test_passages_are_the_toxic_words(documents, spark):
     clean = [(i, f"plain words number {i} and other plain words follow here", "s") for i in range(0, 400)]
     toxic = [(i, f"plain words number {i} you vile rotten creature and words", "s") for i in range(400, 460)]
