@@ -100,6 +100,10 @@ class Session:
         """Make a DataFrame a table, with values for columns that an INSERT leaves out."""
         self.tables.put(name, Table(frame, "LOCAL TEMPORARY", dict(defaults or {}), frozenset(required)))
 
+    def register_catalog(self, catalog: str, *schemas: str) -> None:
+        """Make a catalog's schemas (``public`` if none is named) places for tables."""
+        self.tables.schemas |= {(catalog.lower(), s.lower()) for s in schemas or ("public",)}
+
     def register_udf(self, name: str, function: Callable, returns: str) -> Callable:
         """Register a function over Arrow arrays under any case of its name."""
         return register_scalar(self.spark, name, function, returns)

@@ -47,7 +47,6 @@ def test_partial_aggregation(spark):
 
 
 def test_transitive_filter(spark):
-    spark.range(10).selectExpr("id a").write.mode("ignore").format("noop").save()
     left, right = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("orders", "customer"))
     text = left.join(right, left.o_custkey == right.c_custkey).where("c_custkey > 10")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_custkey,10)" in text and "GreaterThan(c_custkey,10)" in text

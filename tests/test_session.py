@@ -54,7 +54,7 @@ def test_expressions(session, text, want):
     assert one(session, text) == want
 
 
-@pytest.mark.parametrize("text", ["SELECT 1 / 0", "SELECT CAST('x' AS INT)", "SELECT * FORM t", "SELECT 9223372036854775807 + 1", "SELECT a FROM nowhere", "SELECT v1, COUNT(*) FROM t", "SELECT COUNT(v1) FROM t GROUP BY COUNT(v1)", "SELECT v1 FROM t GROUP BY v2", "SELECT nope(1)"])
+@pytest.mark.parametrize("text", ["SELECT 1 / 0", "SELECT CAST('x' AS INT)", "SELECT * FORM t", "SELECT 9223372036854775807 + 1", "SELECT a FROM nowhere", "SELECT v1, COUNT(*) FROM t", "SELECT COUNT(v1) FROM t GROUP BY COUNT(v1)", "SELECT v1 FROM t GROUP BY v2", "SELECT nope(1)", "SELECT (1"])
 def test_spark_refuses(session, text):
     numbers(session, (1, 2, 3))
     with pytest.raises(PySparkException):
@@ -64,7 +64,7 @@ def test_spark_refuses(session, text):
 @pytest.mark.parametrize(
     "text",
     [
-        "", "FROB x", "SELECT 1; SELECT 2", "SELECT 'open", "SELECT (1", "WITH a AS (SELECT 1), a AS (SELECT 2) SELECT 1", "SELECT CAST(1 AS DECIMAL(40, 2))",
+        "", "FROB x", "SELECT 1; SELECT 2", "SELECT 'open", "WITH a AS (SELECT 1), a AS (SELECT 2) SELECT 1", "SELECT CAST(1 AS DECIMAL(40, 2))",
         "CREATE TABLE", "CREATE TABLE x", "CREATE TABLE x (a INT, a INT)", "CREATE TABLE x (a INT FUNNY)", "CREATE TABLE no.such.x (a INT)", "DROP TABLE nowhere", "DROP SCHEMA nowhere",
         "INSERT INTO nowhere VALUES (1)", "INSERT INTO t VALUES (1)", "INSERT INTO t (v1, v1) VALUES (1, 2)", "INSERT INTO t (zz) VALUES (1)", "INSERT INTO t VALUES (1, 2, 3), (1, 2)", "INSERT INTO t VALUES (1, 2, 3) RETURNING v1", "INSERT INTO t VALUES (1, 2, 3) garbage",
         "INSERT INTO strict VALUES (NULL, 1)", "INSERT INTO strict (b) VALUES (1)", "UPDATE strict SET a = NULL", "UPDATE t SET v1", "DELETE FROM nowhere", "DELETE FROM t garbage", "COPY t FROM 5", "COPY t FROM 'x' (FORMAT json)", "COPY t TO 'x' (COLOUR red)", "SHOW WINDOWS",
@@ -87,6 +87,13 @@ def test_names_fold(session):
     assert rows(session, "SELECT public.mixed.aa FROM public.mixed") == [(4,)]
 
 
+def test_catalogs(session, spark):
+    session.register_catalog("Lake", "raw")
+    session.register_table("lake.raw.t", spark.range(3))
+    assert rows(session, "SELECT MAX(t.id) FROM lake.raw.t") == [(2,)]
+    assert rows(session, "SELECT catalog_name, schema_name FROM information_schema.tables") == [("lake", "raw")]
+
+
 def test_filters_and_groups(session):
     numbers(session, (1, 4, 2), (2, 3, 3), (3, 4, 4), (4, 3, 5))
     assert rows(session, "SELECT v1, v3 FROM t WHERE v2 > 3") == [(1, 2), (3, 4)]
