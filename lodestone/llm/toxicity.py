@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import segments
+from .common import cut, segments
 from .decontaminate import words_of
 
 #: Labelled rows that the model is fitted on at most (by hash, so any are as likely); all are used if fewer.
 MAX_LABELLED = 200_000
-#: Toxic documents that must hold a word before it can score, and the root of the likelihood ratio it must reach.
-LEAST_DOCUMENTS, LEAST_ROOT = 3, 4.0
-#: Weight of the prior in words, what each word costs, and the steps in which scores are counted.
-PRIOR_WORDS, DRIFT, STEP = 20_000.0, 1.0, 0.25
+#: Toxic documents that must hold a word before it can score.
+LEAST_DOCUMENTS = 3
+#: Weight of the prior against the toxic documents' words, what each word costs, and the steps in which scores are counted.
+PRIOR_SHARE, DRIFT, STEP = 0.1, 1.0, 0.25
 HIGHEST = 10.0
 THRESHOLD = 0.3
 EULER = 0.5772156649
@@ -121,8 +121,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, sample: np.nd
 def log_odds(n: np.ndarray, background: np.ndarray, totals: tuple[float, float, float]) -> np.ndarray:
     """Log-odds of words (rows of toxic and other counts) under a Dirichlet prior shaped by the corpus."""
     all_toxic, all_other, all_words = totals
-    prior = PRIOR_WORDS * (background + 0.5) / (all_words + 1)
-    rate = lambda c, of: np.log((c + prior) / (of + PRIOR_WORDS - c - prior))
+    weight = max(1.0, PRIOR_SHARE * all_toxic)
+    prior = weight * (background + 0.5) / (all_words + 1)
+    rate = lambda c, of: np.log((c + prior) / (of + weight - c - prior))
     return rate(n[:, 0], all_toxic) - rate(n[:, 1], all_other)
 
 
@@ -163,8 +164,11 @@ def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn a model; what is sent to executors grows with the labelled rows, which ``most`` bounds."""
     spark = docs.sparkSession
-    train = F.broadcast(labelled(labels, most))  # 16 bytes for each of ``most`` rows at most
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
+    # Of equal texts one is learned from, else a copied document's own words would look toxic.
+    copies = rows.select("id", F.xxhash64("text").alias("hash")).join(F.broadcast(labelled(labels, most)), "id")
+    train = copies.groupBy("hash").agg(F.min(F.struct("id", "toxic")).alias("x")).select("x.id", "x.toxic").distinct()
+    train = F.broadcast(cut(train))  # 16 bytes for each of ``most`` rows at most, as is the broadcast before
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -205,10 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: st
     held = c[:-1]
     odds = log_odds(held[:, :2], held[:, 2], totals)
     root = signed_root(held[:, 3:], (int(c[-1, 3]), int(c[-1, 4])))
+    # The largest root that so many words reach by chance alone.
+    least_root = math.sqrt(2 * math.log(max(2, size)))
     scores = {
         w: float(min(odds[i], HIGHEST) - DRIFT)
         for w, i in vocabulary.value.items()
-        if root[i] >= LEAST_ROOT and odds[i] > DRIFT
+        if root[i] >= least_root and odds[i] > DRIFT
     }
     model = Model(scores, 1.0, 0.0, np.zeros(4))
 

@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-from tests.conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,15 +8,19 @@ from lodestone.llm import toxicity
 from lodestone.llm.queries import QUERIES, table
 
 
+MIDDLE = "/root/testdata/sf0.1"
+
+
 def test_held_out(spark):
-    rows = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, SMALL).collect()}
-    assert len(rows) == table(spark, SMALL, "documents").count()
+    rows = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, MIDDLE).collect()}
+    assert len(rows) == table(spark, MIDDLE, "documents").count()
     for i, r in rows.items():
         assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1
         assert r.predicted == (r.score >= 0.3)
-    held = [(r.toxic, rows[r.doc_id].score) for r in table(spark, SMALL, "labels").collect() if rows[r.doc_id].held_out]
+    held = [(r.toxic, rows[r.doc_id].score) for r in table(spark, MIDDLE, "labels").collect() if rows[r.doc_id].held_out]
     toxic, clean = [s for y, s in held if y], [s for y, s in held if not y]
-    assert np.mean([a > b for a in toxic for b in clean]) + np.mean([a == b for a in toxic for b in clean]) / 2 > 0.9
+    assert np.mean([a > b for a in toxic for b in clean]) + np.mean([a == b for a in toxic for b in clean]) / 2 > 0.93
+    assert np.mean([s >= 0.3 for s in toxic]) > 0.85
     assert np.mean([s >= 0.3 for s in clean]) < 0.05
 
 
