@@ -14,12 +14,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +33,11 @@ MOST_BROADCAST = 1_000_000
 #: Characters of a word that one long's bits can part; longer words are folded in Python.
 MOST_BITS = 60
 #: Bytes of text whose words are looked up together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text for each bucket that the words are dealt to.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+#: Ids travel as characters from here on.
+FIRST_ID = 0x10000
 #: Between words that travel together; between fields of an encoded word.
 GAP, FIELD = "\ufdd0", "\ufdd1"
 #: Characters that are parts of their own; they aren't looked up.
@@ -55,6 +57,11 @@ class Vocabulary:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    def after_letters(self) -> str:
+        """Punctuation that follows a letter in no piece, so that no piece reaches across such a place."""
+        inside = {b for p, _, _ in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        return "".join(c for c in string.punctuation if c not in inside)
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.pieces), "piece string, id int, score double")
 
@@ -100,6 +107,12 @@ def words_of(text: str) -> list[str]:
     return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ") if text else []
 
 
+def atoms_of(word: str, ends: str) -> tuple[str, ...]:
+    """A word, or a word and the punctuation that ends it, if no piece reaches from one to the other."""
+    core = word.rstrip(ends)
+    return (core, word[len(core) :]) if len(core) < len(word) and core and core[-1].isalpha() else (word,)
+
+
 BLOCK = "block long, packed binary"
 
 
@@ -110,7 +123,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         for batch in segments(batches, limit=BLOCK_BYTES):
             whole = pa.RecordBatch.from_pylist(batch.to_pylist(), batch.schema)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_batch(whole)
             packed = sink.getvalue().to_pybytes()
             name = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "big", signed=True)
@@ -124,22 +137,26 @@ def unpack(packed: bytes) -> pa.Table:
     return pa.ipc.open_stream(packed).read_all()
 
 
-def block_words(packed: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block, words``: the distinct words of each block, dealt to buckets by their hash, sorted."""
+def dealt_words(texts: list[str | None], buckets: int, ends: str) -> dict[int, list[str]]:
+    """The distinct atoms of texts by bucket, sorted; who deals the same texts again gets the same lists."""
+    found: set[str] = set()
+    for text in texts:
+        found.update(words_of(text or ""))
+    dealt: dict[int, list[str]] = {}
+    for word in sorted({a for w in found for a in atoms_of(w, ends)}.difference([*BREAKS, ""])):
+        dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+    return dealt
+
+
+def block_words(packed: DataFrame, buckets: int, ends: str) -> DataFrame:
+    """``bucket, block, words``: the distinct words of each block, dealt to buckets by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                found: set[str] = set()
-                for text in unpack(raw).column("text").to_pylist():
-                    found.update(words_of(text or ""))
-                found.difference_update([*BREAKS, ""])
-                dealt: list[list[str]] = [[] for _ in range(buckets)]
-                for word in sorted(found):
-                    dealt[zlib.crc32(word.encode()) % buckets].append(word)
-                some = [i for i, x in enumerate(dealt) if x]
+                dealt = dealt_words(unpack(raw).column("text").to_pylist(), buckets, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([GAP.join(dealt[i]) for i in some])],
+                    [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array([GAP.join(x) for x in dealt.values()], pa.string())],
                     ["bucket", "block", "words"],
                 )
 
@@ -324,56 +341,80 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         text_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(parts_for(text_bytes, BUCKET_BYTES), 8)
     known = spark.sparkContext.broadcast(vocabulary)
+    ends = vocabulary.after_letters()
     # One exchange, read twice: both readers see the same blocks.
     packed = blocks(docs).repartition(parts_for(text_bytes, BLOCK_BYTES) + 7, "block")
-    dealt = block_words(packed, buckets).repartition(buckets, "bucket")
-    each = dealt.select("bucket", "block", F.explode(F.split("words", GAP)).alias("word"))
+    dealt = block_words(packed, buckets, ends).repartition(buckets, "bucket")
+    # Neither an inferred filter nor a dropped column may tell this reader of the exchange from the other.
+    each = dealt.select("bucket", "block", F.explode_outer(F.split("words", GAP)).alias("word"))
     words = each.groupBy("bucket", "word").agg(F.min("block").alias("block")).select("bucket", "word")
     unigram = vocabulary.kind == "unigram"
     table = viterbi(words, vocabulary) if unigram else merge_folds(merge_lattices(words, vocabulary))
 
     def answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
+        entries: dict[str, str] = {}
+
+        def enter(word: str, ids: list[int]) -> str:
+            # An id travels as a character; a word that doesn't decode to itself ends with a mark.
+            same = b"".join([coder.raw.get(i, b"") for i in ids]) == word.replace(MARK, " ").encode()
+            entries[word] = "".join([chr(FIRST_ID + i) for i in ids]) + ("" if same else FIELD)
+            return entries[word]
+
         columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
-        ids: dict[str, str] = {}
         if unigram:
             for word, path in zip(*columns, strict=True):
-                ids[word] = " ".join(map(str, coder.of_path(word, path)))
+                enter(word, coder.of_path(word, path))
         else:
             for word, borders, edges in zip(*columns, strict=True):
-                parts = merged(word, edges) if borders is None else parted(word, borders)
-                ids[word] = " ".join(map(str, coder.of_parts(parts)))
+                enter(word, coder.of_parts(merged(word, edges) if borders is None else parted(word, borders)))
         raw = []
         for listed in asked.column("words").to_pylist():
-            entries = []
-            for word in listed.split(GAP):
-                if word not in ids:  # no edge: every character is a part
-                    ids[word] = " ".join(map(str, coder.of_parts(list(word))))
-                entries.append(word + FIELD + ids[word])
-            raw.append(GAP.join(entries).encode())
+            # A word without an edge has a part for every character.
+            found = [entries.get(w) or enter(w, coder.of_parts(list(w))) for w in listed.split(GAP)]
+            raw.append(GAP.join(found).encode())
         packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
-        return pa.table([asked.column("block"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], ["block", "size", "pack"])
+        return pa.table([asked.column("block"), asked.column("bucket"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "bucket", "size", "pack"])
+
+    coded = table.withColumnRenamed("bucket", "of").groupBy("of")
+    answers = dealt.groupBy("bucket").cogroup(coded).applyInArrow(answer, "block long, bucket int, size long, pack binary")
+
+    class Words(dict):
+        """Ids of words as strings of characters; a word of two atoms has both atoms' ids."""
 
-    answers = dealt.groupBy("bucket").cogroup(table.withColumnRenamed("bucket", "of").groupBy("of")).applyInArrow(answer, "block long, size long, pack binary")
+        def __missing__(self, word: str) -> str:
+            atoms = atoms_of(word, ends)
+            if len(atoms) == 1:
+                raise KeyError(f"{word!r} isn't among its block's words; the documents changed while they were read")
+            self[word] = "".join([self[a] for a in atoms])
+            return self[word]
 
     def assemble(held: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
-        ids: dict[str, list[int]] = {b: coder.fallback(b) for b in BREAKS} | {"": []}
-        for size, pack in zip(coded.column("size").to_pylist(), coded.column("pack").to_pylist(), strict=True):
-            for entry in pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP):
-                word, _, listed = entry.partition(FIELD)
-                ids[word] = [int(x) for x in listed.split(" ")]
+        ids = Words({b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
+        odd: set[str] = {b for b in BREAKS if min(coder.bytes) < 0}
+        tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
+        dealt = dealt_words(tables[0].column("text").to_pylist(), buckets, ends) if tables else {}
+        for bucket, size, pack in zip(*(coded.column(c).to_pylist() for c in ("bucket", "size", "pack")), strict=True):
+            entries = pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP)
+            for word, listed in zip(dealt.get(bucket, []), entries, strict=True):
+                if listed.endswith(FIELD):
+                    odd.add(word)
+                    listed = listed[:-1]
+                ids[word] = listed
         names: list[int | None] = []
-        values, offsets, trips = array("i"), [0], []
-        for raw in held.column("packed").to_pylist():
-            rows = unpack(raw)
+        parts, lengths, trips = [], [0], []
+        for rows in tables:  # more than one if blocks are equal
             names += rows.column("doc_id").to_pylist()
             for text in rows.column("text").to_pylist():
-                pieces = list(chain.from_iterable(map(ids.__getitem__, words_of(text or ""))))
-                values.extend(pieces)
-                offsets.append(len(values))
-                trips.append(coder.text(pieces) == (text or ""))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)]))
+                words = words_of(text or "")
+                joined = "".join(map(ids.__getitem__, words))
+                parts.append(joined.encode("utf-32-le"))
+                lengths.append(len(joined))
+                # Pieces decode one after the other, so a text decodes to itself if all its words do.
+                trips.append(not text or MARK not in text and (not odd or odd.isdisjoint(a for w in words for a in atoms_of(w, ends))))
+        values = np.frombuffer(b"".join(parts), np.uint32).astype(np.int32) - FIRST_ID
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(values, pa.int32()))
         return pa.table([pa.array(names, pa.int64()), lists, pa.array(trips)], ["doc_id", "ids", "round_trip"])
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, CODED)
