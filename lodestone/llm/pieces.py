@@ -149,18 +149,20 @@ def dealt_words(texts: list[str | None], buckets: int, ends: str) -> dict[int, l
 
 
 def block_words(packed: DataFrame, buckets: int, ends: str) -> DataFrame:
-    """``bucket, block, words``: the distinct words of each block, dealt to buckets by their hash."""
+    """``bucket, words``: the distinct words of each block, dealt to buckets by their hash.
+
+    The block's name comes first, behind a mark: every reader of the exchange then needs
+    all its columns, and Spark makes it once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 dealt = dealt_words(unpack(raw).column("text").to_pylist(), buckets, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array([GAP.join(x) for x in dealt.values()], pa.string())],
-                    ["bucket", "block", "words"],
-                )
+                listed = [GAP.join([f"{FIELD}{block}", *x]) for x in dealt.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(listed, pa.string())], ["bucket", "words"])
 
-    return packed.mapInArrow(run, "bucket int, block long, words string")
+    return packed.mapInArrow(run, "bucket int, words string")
 
 
 #: Bits of a packed edge: its place in the order of merges, its start, its length.
@@ -345,9 +347,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
     # One exchange, read twice: both readers see the same blocks.
     packed = blocks(docs).repartition(parts_for(text_bytes, BLOCK_BYTES) + 7, "block")
     dealt = block_words(packed, buckets, ends).repartition(buckets, "bucket")
-    # Neither an inferred filter nor a dropped column may tell this reader of the exchange from the other.
-    each = dealt.select("bucket", "block", F.explode_outer(F.split("words", GAP)).alias("word"))
-    words = each.groupBy("bucket", "word").agg(F.min("block").alias("block")).select("bucket", "word")
+    each = dealt.select("bucket", F.explode_outer(F.split("words", GAP)).alias("word"))
+    words = each.where(~F.col("word").startswith(FIELD)).distinct()
     unigram = vocabulary.kind == "unigram"
     table = viterbi(words, vocabulary) if unigram else merge_folds(merge_lattices(words, vocabulary))
 
@@ -368,13 +369,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         else:
             for word, borders, edges in zip(*columns, strict=True):
                 enter(word, coder.of_parts(merged(word, edges) if borders is None else parted(word, borders)))
-        raw = []
-        for listed in asked.column("words").to_pylist():
+        names, raw = [], []
+        for asked_words in asked.column("words").to_pylist():
+            block, *listed = asked_words.split(GAP)
+            names.append(int(block.removeprefix(FIELD)))
             # A word without an edge has a part for every character.
-            found = [entries.get(w) or enter(w, coder.of_parts(list(w))) for w in listed.split(GAP)]
-            raw.append(GAP.join(found).encode())
+            raw.append(GAP.join([entries.get(w) or enter(w, coder.of_parts(list(w))) for w in listed]).encode())
         packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
-        return pa.table([asked.column("block"), asked.column("bucket"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "bucket", "size", "pack"])
+        return pa.table([pa.array(names, pa.int64()), asked.column("bucket"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "bucket", "size", "pack"])
 
     coded = table.withColumnRenamed("bucket", "of").groupBy("of")
     answers = dealt.groupBy("bucket").cogroup(coded).applyInArrow(answer, "block long, bucket int, size long, pack binary")
