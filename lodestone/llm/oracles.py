@@ -105,4 +105,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
 
 
-ORACLES = {"op1_secrets": op1_sql(), "op3_sharding": op3_sql(), "op5_decontaminate": op5_sql(), "op8_line_dedup": line_dedup.OP8_SQL}
+def op9_sql() -> str:
+    """All pairs that share a shingle, and everything that each row reaches over links."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM docs
+  )
+),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(r, id) AS (
+  SELECT r, doc_id FROM docs UNION SELECT edges.y, reached.id FROM reached JOIN edges ON edges.x = reached.r
+),
+least AS (SELECT r, min(id) AS component_id FROM reached GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN least USING (r) LEFT JOIN sizes USING (r)"""
+
+
+ORACLES = {"op1_secrets": op1_sql(), "op3_sharding": op3_sql(), "op5_decontaminate": op5_sql(), "op8_line_dedup": line_dedup.OP8_SQL, "op9_near_dedup": op9_sql()}

@@ -1,10 +1,9 @@
 from collections import defaultdict
 
 from tests.conftest import SMALL
-from tests.oracle import differences
 
 from lodestone.llm import line_dedup
-from lodestone.llm.queries import ORACLES, QUERIES
+from lodestone.llm.queries import QUERIES
 
 
 def by_hand(rows, least_sites=line_dedup.LEAST_SITES):
@@ -29,10 +28,6 @@ def result(df, **more):
     return sorted(((r.doc_id, r.text, r.n_dropped) for r in line_dedup.remove_boilerplate(df, **more).collect()), key=repr)
 
 
-def test_oracle(spark):
-    assert differences(QUERIES["op8_line_dedup"](spark, SMALL), ORACLES["op8_line_dedup"], SMALL) == []
-
-
 def test_thresholds_by_hand(documents):
     rows = []
     for n, line in enumerate(["on five sites only", "on six sites, enough", "on thirty sites, far above", "tiny", "many times on one site"]):
