@@ -10,7 +10,7 @@ from . import decontaminate, line_dedup, secrets, sharding
 def without_flags(pattern: str) -> str:
     """Either-case groups as classes, since other engines fold letters beyond ASCII."""
     def spelled(m: re.Match) -> str:
-        return "(" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")"
+        return "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")"
 
     return re.sub(r"\(\?ai:([^)]*)\)", spelled, pattern)
 
