@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..operators.lineage import cut
 from ..sources import files
 from .dialect import StatementError, Token, closing, split_by, sql_type, text_of, type_end
+from .division import expression_with_divisions
 from .tables import Table
 
 
@@ -182,12 +183,17 @@ class Statements:
             return self.append(name, self.session.query_text(" UNION ALL ".join(selects)), columns)
         return self.append(name, self.query(r.rest()), columns)
 
+    def expression(self, tokens: list[Token], name: str) -> Column:
+        """An expression over a table's columns."""
+        text = text_of(self.session.rewritten(tokens))
+        return F.expr(expression_with_divisions(self.spark, text, self.tables.view(self.tables.key(name))))
+
     def condition(self, r: Reader, name: str) -> Column:
         """Whether a WHERE clause holds; unknown counts as no."""
         if not r.rest():
             return F.lit(True)
         r.need("WHERE")
-        return F.coalesce(F.expr(text_of(self.session.rewritten(r.rest()))), F.lit(False))
+        return F.coalesce(self.expression(r.rest(), name), F.lit(False))
 
     def delete(self, r: Reader) -> DataFrame:
         r.need("FROM")
@@ -208,7 +214,7 @@ class Statements:
         for part in split_by(rest[:where]):
             if len(part) < 3 or part[1].text != "=":
                 raise StatementError("expected column = value")
-            new[table.field_of(part[0].text.strip("`")).name] = F.expr(text_of(self.session.rewritten(part[2:])))
+            new[table.field_of(part[0].text.strip("`")).name] = self.expression(part[2:], name)
         r.at += where
         change = self.condition(r, name)
         count = table.frame.where(change).count()

@@ -151,6 +151,14 @@ def test_changes(session):
     assert rows(session, "SELECT * FROM t") == []
 
 
+def test_divisions_of_other_texts(session, spark):
+    session.register_table("t", spark.sql("SELECT id / 4 AS quarter, id FROM range(7, 9)"))
+    assert rows(session, "SELECT quarter, id / 2 FROM t") == [(1.75, 3), (2.0, 4)]
+    assert one(session, "DELETE FROM t WHERE id / 2 = 3") == (1,)
+    session.sql("UPDATE t SET id = CASE WHEN id / 3 = 2 THEN id / 3 / 2 ELSE 0 END")
+    assert rows(session, "SELECT id FROM t") == [(1,)]
+
+
 def test_ctas_and_short_forms(session):
     numbers(session, (1, 2, 3))
     session.sql("CREATE TABLE u AS SELECT v1 AS k, v2 / 2 AS h FROM t")
