@@ -19,3 +19,16 @@ def test_runs(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize(
+    ("name", "key", "whole"),
+    [
+        ("arith_ops", "l_orderkey", "SELECT max(l_orderkey) AS last FROM lineitem"),
+        ("cast_types", "l_orderkey", "SELECT max(l_orderkey) AS last FROM lineitem"),
+        ("scalar_correlated", "l_orderkey", "SELECT max(l_orderkey) AS last FROM lineitem"),
+        ("join_filter_after_outer", "c_custkey", "SELECT max(c_custkey) AS last FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)"),
+    ],
+)
+def test_reaches_the_last_key(spark, name, key, whole):
+    assert differences(QUERIES[name](spark, SMALL).selectExpr(f"max({key}) AS last"), whole, SMALL) == []
