@@ -6,10 +6,12 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 
-__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "cut", "parts_for", "segments"]
+__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "cut", "parts_for", "row_key", "segments", "text_hashes"]
 
 #: Columns of a documents table, in the order pipeline stages return them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,3 +36,14 @@ def segments(
         step = max(1, limit // mean)
         for at in range(0, n, step):
             yield batch.slice(at, step)
+
+
+def text_hashes(*columns: str) -> list[Column]:
+    """``h1, h2``: 128 bits that stand for values, so that no two of a corpus' values meet by chance."""
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit("second"), *columns).alias("h2")]
+
+
+def row_key(*expressions: str) -> str:
+    """SQL of 16 bytes that identify a row by the values of expressions; equal rows have equal keys."""
+    listed = ", ".join(expressions)
+    return f"unhex(concat(lpad(hex(xxhash64({listed})), 16, '0'), lpad(hex(xxhash64('second', {listed})), 16, '0')))"

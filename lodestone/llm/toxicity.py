@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, segments
+from .common import cut, segments, text_hashes
 from .decontaminate import words_of
 
 #: Labelled rows that the model is fitted on at most (by hash, so any are as likely); all are used if fewer.
@@ -31,6 +31,10 @@ LEAST_DOCUMENTS = 3
 PRIOR_SHARE, DRIFT, STEP = 0.1, 1.0, 0.25
 HIGHEST = 10.0
 THRESHOLD = 0.3
+#: Bytes of text whose words are counted together; documents without evidence that count for the level of chance scores.
+WORDS_BYTES, PRIOR_GAPS = 1 << 20, 1
+#: Weights of the calibration before any labelled row is seen.
+PRIOR_WEIGHTS = np.array([-4.0, 0.0, 0.0, 0.0])
 EULER = 0.5772156649
 
 
@@ -85,7 +89,7 @@ def surprises(found: list[tuple[int, int, float]], n: int, model: Model) -> np.n
 def joint_surprise(norm: np.ndarray) -> float:
     """Minus the log of the least chance of the best r segments' sum, over r (1 at no segment)."""
     best, total = 0.0, 0.0
-    for r, x in enumerate(norm[:64].tolist(), 1):
+    for r, x in enumerate(norm.tolist(), 1):
         if x <= 0 and r > 1:
             break
         total += x
@@ -102,16 +106,20 @@ def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, sample: np.ndarray | None = None) -> np.ndarray:
-    """Penalised logistic regression by Newton steps; the first column is the intercept."""
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, sample: np.ndarray | None = None, prior: np.ndarray | None = None) -> np.ndarray:
+    """Penalised logistic regression by Newton steps; the first column is the intercept.
+
+    Weights are drawn towards ``prior`` (zeros if none), which is what no rows give.
+    """
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w = prior.copy()
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
     weight = np.ones(len(y)) if sample is None else sample
     for _ in range(25):
         p = probability(x, w)
         hessian = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - penalty * w)
+        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - penalty * (w - prior))
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -127,17 +135,21 @@ def log_odds(n: np.ndarray, background: np.ndarray, totals: tuple[float, float,
     return rate(n[:, 0], all_toxic) - rate(n[:, 1], all_other)
 
 
-def signed_root(d: np.ndarray, docs: tuple[int, int]) -> np.ndarray:
-    """Signed root of the likelihood ratio of document counts (toxic, other)."""
-    toxic, other = docs
-    share = np.clip((d[:, 0] + d[:, 1]) / max(1, toxic + other), 1e-12, 1 - 1e-12)
+def signed_root(toxic: int, other: int) -> Column:
+    """Signed root of the likelihood ratio of the columns ``d1`` and ``d0``, document counts among ``toxic`` and ``other``."""
+    both = max(1, toxic + other)
+
+    def clipped(x: Column) -> Column:
+        return F.least(F.greatest(x, F.lit(1e-12)), F.lit(1 - 1e-12))
 
-    def part(k: np.ndarray, n: int) -> np.ndarray:
-        p = np.clip(k / max(1, n), 1e-12, 1 - 1e-12)
-        return k * np.log(p / share) + (n - k) * np.log((1 - p) / (1 - share))
+    share = clipped((F.col("d1") + F.col("d0")) / both)
 
-    ratio = 2 * (part(d[:, 0], toxic) + part(d[:, 1], other))
-    return np.sign(d[:, 0] / max(1, toxic) - share) * np.sqrt(np.maximum(0, ratio))
+    def part(k: Column, n: int) -> Column:
+        p = clipped(k / max(1, n))
+        return k * F.log(p / share) + (n - k) * F.log((1 - p) / (1 - share))
+
+    ratio = 2 * (part(F.col("d1"), toxic) + part(F.col("d0"), other))
+    return F.signum(F.col("d1") / max(1, toxic) - share) * F.sqrt(F.greatest(F.lit(0.0), ratio))
 
 
 def extreme_rate(counts: dict[float, int]) -> float:
@@ -161,90 +173,125 @@ def labelled(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return known.orderBy(F.xxhash64("id"), "id").limit(most) if known.count() > most else known
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn a model; what is sent to executors grows with the labelled rows, which ``most`` bounds."""
-    spark = docs.sparkSession
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
-    # Of equal texts one is learned from, else a copied document's own words would look toxic.
-    copies = rows.select("id", F.xxhash64("text").alias("hash")).join(F.broadcast(labelled(labels, most)), "id")
-    train = copies.groupBy("hash").agg(F.min(F.struct("id", "toxic")).alias("x")).select("x.id", "x.toxic").distinct()
-    train = F.broadcast(cut(train))  # 16 bytes for each of ``most`` rows at most, as is the broadcast before
+def document_words(texts: DataFrame) -> DataFrame:
+    """``word, toxic, n``: a row for each word of each document, and one of no word for all its words."""
 
-    def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in segments(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in segments(batches, limit=WORDS_BYTES):
+            words: list[bytes | None] = []
+            counts: list[int] = []
+            rows = []
             for text in batch.column("text").to_pylist():
-                seen.update(set(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "d"])
+                found = words_of(text)
+                seen = Counter(found)
+                words += [None, *seen]
+                counts += [len(found), *seen.values()]
+                rows.append(len(seen) + 1)
+            toxic = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic), pa.array(counts, pa.int64())], ["word", "toxic", "n"])
 
-    toxic = rows.join(train.where("toxic = 1"), "id").select("text").mapInArrow(held_by, "word binary, d long")
-    toxic = toxic.groupBy("word").agg(F.sum("d").alias("d")).where(F.col("d") >= LEAST_DOCUMENTS)
-    vocabulary = spark.sparkContext.broadcast({bytes(r.word): i for i, r in enumerate(toxic.collect())})
+    return texts.mapInArrow(run, "word binary, toxic int, n long")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = vocabulary.value
-        n = len(number)
-        out = np.zeros((5, n + 1), np.int64)  # words: toxic, other, all; documents: toxic, other
-        for batch in segments(batches):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = words_of(text)
-                ids = np.fromiter((number.get(w, n) for w in words), np.int64, len(words))
-                count = np.bincount(ids, minlength=n + 1)
-                out[2] += count
-                if label is not None:
-                    out[0 if label else 1] += count
-                    once = count > 0
-                    once[n] = True
-                    out[3 if label else 4] += once
-        some = np.flatnonzero(out.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *out[:, some])], ["word", "c0", "c1", "c2", "c3", "c4"])
-
-    counts = rows.join(train, "id", "left").select("text", "toxic")
-    counts = counts.mapInArrow(counted, "word long, c0 long, c1 long, c2 long, c3 long, c4 long")
-    size = len(vocabulary.value)
-    c = np.zeros((size + 1, 5))
-    for r in counts.groupBy("word").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(5))).collect():
-        c[r.word] = r[1:]
-    totals = c[:, 0].sum(), c[:, 1].sum(), c[:, 2].sum()
-    held = c[:-1]
-    odds = log_odds(held[:, :2], held[:, 2], totals)
-    root = signed_root(held[:, 3:], (int(c[-1, 3]), int(c[-1, 4])))
+
+def telling_words(texts: DataFrame) -> tuple[dict[bytes, tuple[int, int]], tuple[int, int]]:
+    """Words that toxic documents hold more often than chance gives, with their (other, toxic) counts; and all words' counts.
+
+    Words are counted and judged where they are; only those that pass come to the driver.
+    """
+    by = {name: F.sum(F.when(F.col("toxic") == k, x)) for k in (0, 1) for name, x in ((f"c{k}", F.col("n")), (f"d{k}", F.lit(1)))}
+    counts = document_words(texts).groupBy("word").agg(*(F.coalesce(x, F.lit(0)).alias(name) for name, x in by.items()))
+    counts = cut(counts.where(F.col("word").isNull() | (F.col("d1") >= LEAST_DOCUMENTS)))
+    whole = counts.where("word is null").first()
+    if whole is None:
+        return {}, (0, 0)
     # The largest root that so many words reach by chance alone.
-    least_root = math.sqrt(2 * math.log(max(2, size)))
-    scores = {
-        w: float(min(odds[i], HIGHEST) - DRIFT)
-        for w, i in vocabulary.value.items()
-        if root[i] >= least_root and odds[i] > DRIFT
-    }
-    model = Model(scores, 1.0, 0.0, np.zeros(4))
+    least_root = math.sqrt(2 * math.log(max(2, counts.count() - 1)))
+    found = counts.where("word is not null").where(signed_root(whole.d1, whole.d0) >= least_root).select("word", "c0", "c1")
+    return {bytes(r.word): (r.c0, r.c1) for r in found.collect()}, (whole.c0, whole.c1)
 
-    # Scores of words in documents that aren't toxic; the same counts give them.
-    null: Counter = Counter()
-    for w, i in vocabulary.value.items():
-        if w in scores and held[i, 1]:
-            null[round(scores[w] / STEP) * STEP] += int(held[i, 1])
-    null[-DRIFT] = int(totals[1]) - sum(null.values())
-    model.rate = extreme_rate(null)
 
-    sent = spark.sparkContext.broadcast(model)
+def background(rows: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+    """How often the whole corpus has each word, and how many words it has; a row for each word of a segment travels."""
+    number = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = number.value
+        for batch in segments(batches):
+            count = np.zeros(len(known) + 1, np.int64)
+            for text in batch.column("text").to_pylist():
+                found = words_of(text)
+                count[-1] += len(found)
+                for w in found:
+                    if w in known:
+                        count[known[w]] += 1
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["word", "n"])
+
+    count = np.zeros(len(words) + 1)
+    for r in rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        count[r.word] = r.n
+    return count[:-1], int(count[-1])
+
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def segment_scores(texts: DataFrame, scores: dict[bytes, float]) -> DataFrame:
+    """``n, s, toxic``: words of each document, and the scores of its maximal segments."""
+    sent = texts.sparkSession.sparkContext.broadcast(scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in segments(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                found = maximal_segments(word_scores(words, sent.value.scores)) if words else []
-                out.append((len(words), [x[2] for x in found]))
+                out.append((len(words), [x[2] for x in maximal_segments(word_scores(words, sent.value))] if words else []))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.float64())), batch.column("toxic")], ["n", "s", "toxic"]
             )
 
-    sample = rows.join(train, "id").select("text", "toxic").mapInArrow(measured, "n long, s array<double>, toxic int").collect()
-    gaps = [model.rate * max(r.s) - math.log(max(r.n, 1)) - EULER for r in sample if r.toxic == 0 and r.s]
-    model.log_k = float(np.mean(gaps)) if len(gaps) >= 10 else 0.0
-    x = np.array([row_features(r.n, r.s, model) for r in sample]).reshape(-1, 4)
-    y = np.array([r.toxic for r in sample], float)
-    model.weights = fit_logistic(x, y) if len(y) and 0 < y.sum() < len(y) else np.array([-4.0, 0, 0, 0])
+    return texts.mapInArrow(run, "n long, s array<double>, toxic int")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn a model; what comes to the driver is its words and five numbers for each of ``most`` labelled rows at most."""
+    spark = docs.sparkSession
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"cast(`{text_col}` as string) as text")
+    # Of equal texts one is learned from, else a copied document's own words would look toxic.
+    copies = rows.select("id", *text_hashes("text")).join(F.broadcast(labelled(labels, most)), "id")
+    train = copies.groupBy("h1", "h2").agg(F.min(F.struct("id", "toxic")).alias("x")).select("x.id", "x.toxic").distinct()
+    train = F.broadcast(cut(train))  # 16 bytes for each of ``most`` rows at most, as is the broadcast before
+    texts = rows.join(train, "id").select("text", "toxic")
+
+    found, (all_other, all_toxic) = telling_words(texts)
+    words = sorted(found)
+    counts = np.array([found[w] for w in words], float).reshape(-1, 2)[:, ::-1]
+    everywhere, all_words = background(rows, words)
+    odds = log_odds(counts, everywhere, (all_toxic, all_other, all_words))
+    scores = {w: float(min(odds[i], HIGHEST) - DRIFT) for i, w in enumerate(words) if odds[i] > DRIFT}
+
+    # Scores of words in documents that aren't toxic; the same counts give them.
+    null: Counter = Counter()
+    for w, s in scores.items():
+        if found[w][0]:
+            null[round(s / STEP) * STEP] += found[w][0]
+    null[-DRIFT] = all_other - sum(null.values())
+    model = Model(scores, extreme_rate(null), 0.0, PRIOR_WEIGHTS)
+
+    measured = cut(segment_scores(texts, scores))
+    gap = F.lit(model.rate) * F.array_max("s") - F.log(F.greatest(F.col("n"), F.lit(1))) - EULER
+    clean = measured.where((F.col("toxic") == 0) & (F.size("s") > 0)).agg(F.sum(gap).alias("gaps"), F.count(F.lit(1)).alias("n")).first()
+    model.log_k = (clean.gaps or 0.0) / (clean.n + PRIOR_GAPS)
+    sent = spark.sparkContext.broadcast(model)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [row_features(n, s, sent.value) for n, s in zip(batch.column("n").to_pylist(), batch.column("s").to_pylist(), strict=True)]
+            columns = np.array(x).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), batch.column("toxic")], ["x0", "x1", "x2", "x3", "toxic"])
+
+    table = measured.mapInArrow(featured, "x0 double, x1 double, x2 double, x3 double, toxic int").toArrow()
+    x = np.column_stack([table.column(f"x{i}").to_numpy() for i in range(4)])
+    order = np.lexsort(x.T)  # sums don't depend on which task was first
+    y = table.column("toxic").to_numpy().astype(float)
+    model.weights = fit_logistic(x[order], y[order], prior=PRIOR_WEIGHTS)
     return model
 
 
