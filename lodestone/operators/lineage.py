@@ -1,4 +1,4 @@
-"""Cutting lineage so that lost executors cost no recomputation."""
+"""Cutting lineage so that lost executors cost no recomputation, and the folder for what is written on the way."""
 
 from __future__ import annotations
 
@@ -6,20 +6,34 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: the rows are written once and survive lost executors.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, by ``spark.checkpoint.dir``.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; a private one is made
-    only if the session names none (as in tests).
+    Where none is named, a private one is made, but only if the executors are this
+    machine's (as in tests); on a cluster that is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: the rows are written once and survive lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_root
 from ..session import Session
 from .base import load
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        folder = tempfile.mkdtemp(prefix="lodestone-files-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        return folder
-    return f"{root.rstrip('/')}/files-{next(tempfile._get_candidate_names())}"
+    return f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
 
 
 def session_with(spark: SparkSession, sf_dir: str, *names: str) -> Session:
