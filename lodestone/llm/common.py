@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut
+from ..operators.lineage import remove, shared_root
 
 __all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "cut", "parts_for", "row_key", "segments", "text_hashes"]
 
@@ -19,6 +21,35 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SEGMENT_BYTES = 4 << 20
 
 
+#: The folder of intermediate tables of each application.
+FOLDERS: dict[str, str] = {}
+
+
+def folder_of(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the process ends."""
+    name = spark.sparkContext.applicationId
+    if name not in FOLDERS:
+        FOLDERS[name] = f"{shared_root(spark)}/tables-{name}-{uuid.uuid4().hex}"
+        atexit.register(forget, spark, FOLDERS[name])
+    return FOLDERS[name]
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a written table: lost executors cost no recomputation, and plans start from its true size.
+
+    (What a checkpoint says of its size is the product of all joins before it, which no
+    iteration can bear.)
+    """
+    path = f"{folder_of(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """How many parts of about ``per_part`` rows hold ``rows`` rows."""
     return max(1, math.ceil(rows / per_part))
