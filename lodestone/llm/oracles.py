@@ -71,9 +71,12 @@ rows_ AS (
 keyed AS (
   SELECT *, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || crc), 1, {sharding.KEY_DIGITS}) AS BIGINT) AS k FROM rows_
 ),
+offsets AS (
+  SELECT DISTINCT source, CAST(CAST('0x' || substr(md5('{seed}:source:' || coalesce('s' || source, 'n')), 1, {sharding.KEY_DIGITS}) AS BIGINT) AS DOUBLE) / {sharding.SPAN!r} AS o FROM rows_
+),
 ranked AS (
-  SELECT *, CAST(2 * row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, crc, size) - 1 AS DOUBLE)
-    / CAST(2 * count(*) OVER (PARTITION BY source) AS DOUBLE) AS f FROM keyed
+  SELECT k.*, (CAST(row_number() OVER (PARTITION BY k.source ORDER BY k, doc_id NULLS FIRST, crc, size) - 1 AS DOUBLE) + o)
+    / CAST(count(*) OVER (PARTITION BY k.source) AS DOUBLE) AS f FROM keyed k JOIN offsets s ON k.source IS NOT DISTINCT FROM s.source
 ),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY f, k, doc_id NULLS FIRST, crc, size) - 1 AS n, count(*) OVER () AS total FROM ranked

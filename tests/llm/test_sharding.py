@@ -23,6 +23,36 @@ def test_law_and_mixture(spark):
         assert abs(n - sources[source] / 8) <= 2, (shard, source)
 
 
+def test_sources_of_one_row(spark):
+    """20,000 rows of one source and 20,000 sources of one row: every shard has both alike."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "'x' as text", "if(id < 20000, 'big', concat('site', id)) as source")
+    counts = Counter((r.shard, r.source == "big") for r in sharding.shard_rows(docs).select("shard", "source").collect())
+    for shard in range(8):
+        assert counts[shard, True] + counts[shard, False] == 5000
+        assert abs(counts[shard, True] - 2500) <= 50  # within 1 %
+
+
+def test_equal_rows_in_number(spark):
+    """100,000 equal rows without an id are no large window, and are spread like others."""
+    docs = spark.range(120_000).selectExpr("if(id < 100000, null, id) as doc_id", "if(id < 100000, 'same', 'other') as text", "'s' as source")
+    placed = sharding.shard_rows(docs)
+    counts = Counter((r.shard, r.doc_id is None) for r in placed.select("shard", "doc_id").collect())
+    assert sum(counts.values()) == 120_000 and all(counts[s, True] + counts[s, False] == 15_000 for s in range(8))
+    slots = {(r.shard, r.slot) for r in placed.select("shard", "slot").collect()}
+    assert slots == {(s, n) for s in range(8) for n in range(15_000)}
+
+
+def test_equal_rows_are_dealt_in_runs(spark):
+    rows = spark.createDataFrame([(1, 3, 25), (2, 40, 1), (3, 50, 10)], "key long, first long, copies long")
+    got = sorted((r.key, r.place) for r in sharding.dealt(rows, 10).collect())
+    assert got == [(1, 3 + i) for i in range(25)] + [(2, 40)] + [(3, 50 + i) for i in range(10)]
+
+
+def test_no_python_in_the_plan(spark):
+    plan = QUERIES["op3_sharding"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def by_hand(rows, shards, seed=7):
     import hashlib
 
@@ -34,7 +64,8 @@ def by_hand(rows, shards, seed=7):
     out = []
     for s in {k[0] for k in keyed}:
         own = sorted((k for k in keyed if k[0] == s), key=lambda k: (k[1], k[2] is not None, k[2] or 0, k[3], k[4]))
-        out += [((2 * n + 1) / (2 * len(own)), *k[1:]) for n, k in enumerate(own)]
+        offset = int(hashlib.md5(f"{seed}:source:{'n' if s is None else f's{s}'}".encode()).hexdigest()[: sharding.KEY_DIGITS], 16) / sharding.SPAN
+        out += [((n + offset) / len(own), *k[1:]) for n, k in enumerate(own)]
     out.sort(key=lambda k: (k[0], k[1], k[2] is not None, k[2] or 0, k[3], k[4]))
     placed = Counter()
     rows = []
