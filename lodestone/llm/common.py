@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import remove, shared_root
 
-__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "cut", "parts_for", "row_key", "segments", "text_hashes"]
+__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "bounded", "cut", "parts_for", "row_key", "segments", "spread_join", "text_hashes"]
 
 #: Columns of a documents table, in the order pipeline stages return them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,6 +21,8 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SEGMENT_BYTES = 4 << 20
 
 
+#: Rows (of a few numbers) that are broadcast at most; parts that a hot key is dealt to otherwise.
+MOST_BROADCAST, SALTS = 200_000, 32
 #: The folder of intermediate tables of each application.
 FOLDERS: dict[str, str] = {}
 
@@ -50,6 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join in which a third of ``many`` may have one key: by broadcast, or with each key dealt to ``SALTS`` parts."""
+    few = cut(few)
+    if few.count() <= MOST_BROADCAST:
+        return many.join(F.broadcast(few), key, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    return many.withColumn("__salt", part).join(salted, [key, "__salt"], how).drop("__salt")
+
+
 def parts_for(rows: int, per_part: int) -> int:
     """How many parts of about ``per_part`` rows hold ``rows`` rows."""
     return max(1, math.ceil(rows / per_part))

@@ -1,16 +1,13 @@
 """Removal of lines that spread over many sites (DataFrame operations only).
 
-A line's spread is the number of distinct sites (sources) it occurs on. HyperLogLog
-sketches of sites, one for each line hash, are built where the lines are and merged by
-the aggregation. Lines whose estimate is near the threshold get an exact distinct
-count; lines far above it are boilerplate at once, lines far below are not.
-
-A line can't be on more sites than it has occurrences, so lines that occur less often
-than the least spread that matters get no sketch; that loses none.
-
-Boilerplate goes from every document, unless it is most of the document: a document
-that would lose more than ``most_lost`` of its characters is a copy of others rather
-than a page with boilerplate. It stays whole, for near-duplicate removal.
+A line's spread is the number of distinct sites (sources) it occurs on, and no more than
+the number of distinct texts: the lines of a text that was copied to many sites are that
+text's, which near-duplicate removal keeps once. HyperLogLog sketches of sites and of
+texts, a pair for each line hash, are built straight from the lines where they are and
+merged by the aggregation. Lines whose estimate is near the threshold get exact distinct
+counts; lines far above it are boilerplate at once, lines far below are not.
+
+Boilerplate goes from every document.
 """
 
 from __future__ import annotations
@@ -18,77 +15,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut, row_key, spread_join, text_hashes
 
-#: Sites from which on a line is boilerplate, and characters that a line needs to be looked at.
+#: Sites (and texts) from which on a line is boilerplate, and characters that a line needs to be looked at.
 LEAST_SITES, LEAST_CHARS = 6, 10
 #: Estimates from 1/BAND to BAND times the threshold are counted exactly.
 BAND = 2.0
 SKETCH_BITS = 10
-MOST_LOST = 0.5
-#: Lines (16 bytes each) that are broadcast at most.
-MOST_BROADCAST = 200_000
+#: Bytes of row keys and positions that are broadcast at most.
+MOST_BYTES = 32 << 20
 
 #: Identifies a row; equal rows have equal results.
-ROW = "xxhash64(cast(doc_id as long), cast(text as string), cast(source as string))"
-
-
+ROW = row_key("cast(doc_id as long)", "cast(text as string)", "cast(source as string)")
 #: Two hashes with different seeds identify a line.
 LINE = ["h1", "h2"]
 
 
-def lines_of(rows: DataFrame) -> DataFrame:
-    """``row, source, pos, chars, h1, h2`` of the trimmed lines that are long enough; no text travels further."""
-    each = rows.select("row", "source", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    each = each.select("row", "source", "pos", F.trim("raw").alias("line")).where(F.length("line") >= LEAST_CHARS)
-    return each.select(
-        "row", "source", "pos", F.length("line").alias("chars"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
-    )
-
+def lines_of(rows: DataFrame, *kept: str) -> DataFrame:
+    """``kept, pos, h1, h2`` of the trimmed lines that are long enough; no text travels further."""
+    each = rows.select(*kept, F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    each = each.select(*kept, "pos", F.trim("raw").alias("line")).where(F.length("line") >= LEAST_CHARS)
+    return each.select(*kept, "pos", *text_hashes("line"))
 
-def bounded(lines: DataFrame) -> DataFrame:
-    """A checkpointed set of lines, marked for broadcast if it is small."""
-    return F.broadcast(lines) if lines.count() <= MOST_BROADCAST else lines
 
-
-def spread_lines(lines: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
-    """``h1, h2`` of the lines on ``least_sites`` sites or more; a null source is no site."""
+def spread_lines(rows: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
+    """``h1, h2`` of the lines on ``least_sites`` sites and in as many texts or more; a null source is no site."""
     low, high = least_sites / BAND, least_sites * BAND
-    # Equal (line, site) pairs meet where they are, so one common line is no long task.
-    sites = cut(lines.where("source is not null").groupBy(*LINE, "source").agg(F.count(F.lit(1)).alias("n")))
-    often = sites.groupBy(*LINE).agg(F.sum("n").alias("n")).where(F.col("n") >= least_sites).select(*LINE)
-    sites = cut(sites.join(often, LINE).select(*LINE, "source"))
-    sketched = sites.groupBy(*LINE).agg(F.hll_sketch_agg("source", F.lit(SKETCH_BITS)).alias("sketch"))
-    estimate = cut(sketched.select(*LINE, F.hll_sketch_estimate("sketch").alias("sites")))
-    near = estimate.where((F.col("sites") >= low) & (F.col("sites") <= high)).select(*LINE)
-    exact = sites.join(near, LINE).groupBy(*LINE).agg(F.count_distinct("source").alias("sites"))
-    sure = estimate.where(F.col("sites") > high).select(*LINE)
-    return sure.union(exact.where(F.col("sites") >= least_sites).select(*LINE))
+    lines = lines_of(rows.withColumn("of", F.xxhash64("text")), "source", "of")
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(SKETCH_BITS)))
+    estimates = lines.groupBy(*LINE).agg(sketch("source").alias("sites"), sketch("of").alias("texts"))
+    spread = F.least("sites", "texts")
+    wide = cut(estimates.select(*LINE, spread.alias("spread")).where(spread >= low))
+    near = bounded(wide.where(F.col("spread") <= high).select(*LINE))
+    # Only the lines in the band are looked up again; equal ones of a site, and of a text, meet where they are.
+    seen = cut(lines.join(near, LINE, "left_semi").groupBy(*LINE, "source", "of").agg(F.count(F.lit(1)).alias("n")))
+    enough = lambda c: seen.where(F.col(c).isNotNull()).groupBy(*LINE, c).agg(F.lit(1)).groupBy(*LINE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_sites).select(*LINE)
+    return wide.where(F.col("spread") > high).select(*LINE).union(enough("source").join(enough("of"), LINE, "left_semi"))
 
 
 def find_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
-    """``row, drop, lost``: for each document with such lines, their sorted positions and characters."""
+    """``row, drop``: for each document with such lines, their sorted positions."""
     rows = docs.selectExpr(f"{ROW} as row", "cast(text as string) as text", "cast(source as string) as source")
-    lines = lines_of(rows)
-    spread = bounded(cut(spread_lines(lines, least_sites)))
-    # Equal rows have equal lines; one of each is enough.
-    hits = lines.select("row", "pos", "chars", *LINE).join(spread, LINE).groupBy("row", "pos").agg(F.first("chars").alias("chars"))
-    return hits.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("drop"), F.sum("chars").alias("lost"))
+    spread = bounded(cut(spread_lines(rows, least_sites)))
+    # Equal rows have equal lines.
+    hits = lines_of(rows, "row").join(spread, LINE, "left_semi")
+    return hits.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
-def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, most_lost: float = MOST_LOST) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
     """All rows and columns; ``text`` without boilerplate lines, and ``n_chars`` (if there) its length.
 
     Needs ``doc_id, text, source``. A null text stays null and an empty one empty; a
     null source counts as no site, but its lines go like others; lines of fewer than
     ten characters after trimming always stay; repeated rows repeat their lines'
-    occurrences, not their sites; an empty table gives no rows. ``n_dropped`` counts
-    removed lines.
+    occurrences, not their sites or texts; an empty table gives no rows. ``n_dropped``
+    counts removed lines. A document of boilerplate alone becomes empty.
     """
-    found = find_boilerplate(docs, least_sites).toDF("__row", "__drop", "__lost")
-    kept = docs.withColumn("__row", F.expr(ROW)).join(found, "__row", "left")
-    mostly = F.col("__lost") > most_lost * F.length("text")
-    drop = F.when(F.col("__drop").isNull() | mostly, F.array().cast("array<int>")).otherwise(F.col("__drop"))
+    found = cut(find_boilerplate(docs, least_sites).toDF("__row", "__drop"))
+    size = found.agg(F.sum(F.size("__drop") * 4 + 48)).first()[0] or 0
+    named = docs.withColumn("__row", F.expr(ROW))
+    # A large table is joined by a shuffle; copies of one row are dealt to many tasks.
+    kept = named.join(F.broadcast(found), "__row", "left") if size <= MOST_BYTES else spread_join(named, found, "__row", "left")
+    drop = F.coalesce("__drop", F.array().cast("array<int>"))
     rest = "array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(__keep, i)), '\\n')"
     out = kept.withColumn("__keep", drop).withColumn("n_dropped", F.size("__keep").cast("long"))
     out = out.withColumn("text", F.when(F.size("__keep") > 0, F.expr(rest)).otherwise(F.col("text")))
@@ -108,17 +96,14 @@ def op8_line_dedup(docs: DataFrame) -> DataFrame:
 OP8_SQL = f"""
 WITH rows_ AS (SELECT doc_id, text, source, row_number() OVER () AS r FROM documents),
 lines AS (
-  SELECT r, source, u.pos, trim(u.raw, ' ') AS line FROM (
-    SELECT r, source, unnest(list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10)))) AS z FROM rows_
+  SELECT r, source, text, u.pos, trim(u.raw, ' ') AS line FROM (
+    SELECT r, source, text, unnest(list_zip(range(len(string_split(text, chr(10)))), string_split(text, chr(10)))) AS z FROM rows_
   ) s, LATERAL (SELECT s.z[1] AS pos, s.z[2] AS raw) u
   WHERE length(trim(u.raw, ' ')) >= {LEAST_CHARS}
 ),
-spread AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES}),
-hits AS (SELECT r, list(pos) AS drops, sum(length(line)) AS lost FROM lines JOIN spread USING (line) GROUP BY r),
-kept AS (
-  SELECT doc_id, text, CASE WHEN drops IS NULL OR lost > {MOST_LOST} * length(text) THEN [] ELSE drops END AS drops
-  FROM rows_ LEFT JOIN hits USING (r)
-),
+spread AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT source) >= {LEAST_SITES} AND count(DISTINCT md5(text)) >= {LEAST_SITES}),
+hits AS (SELECT r, list(pos) AS drops FROM lines JOIN spread USING (line) GROUP BY r),
+kept AS (SELECT doc_id, text, coalesce(drops, []) AS drops FROM rows_ LEFT JOIN hits USING (r)),
 cut_ AS (
   SELECT doc_id, drops, CASE WHEN len(drops) = 0 THEN text ELSE array_to_string(
     list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(drops, i - 1)), chr(10)) END AS text FROM kept

@@ -2,25 +2,24 @@ from collections import defaultdict
 
 from tests.conftest import SMALL
 
-from lodestone.llm import line_dedup
+from lodestone.llm import common, line_dedup
 from lodestone.llm.queries import QUERIES
 
 
 def by_hand(rows, least_sites=line_dedup.LEAST_SITES):
     """(id, text, source) rows to (id, text after, lines dropped)."""
-    sites = defaultdict(set)
+    sites, texts = defaultdict(set), defaultdict(set)
     cut = lambda t: [x.strip(" ") for x in (t or "").split("\n")]
     for _, text, source in rows:
         for line in cut(text):
-            if len(line) >= line_dedup.LEAST_CHARS and source is not None:
-                sites[line].add(source)
+            if len(line) >= line_dedup.LEAST_CHARS:
+                texts[line].add(text)
+                sites[line] |= {source} - {None}
     out = []
     for i, text, _ in rows:
-        drop = [k for k, line in enumerate(cut(text)) if len(sites[line]) >= least_sites]
-        if not drop or sum(len(cut(text)[k]) for k in drop) > line_dedup.MOST_LOST * len(text):
-            out.append((i, text, 0))
-        else:
-            out.append((i, "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop), len(drop)))
+        drop = [k for k, line in enumerate(cut(text)) if min(len(sites[line]), len(texts[line])) >= least_sites]
+        rest = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
+        out.append((i, rest, len(drop)))
     return sorted(out, key=repr)
 
 
@@ -38,6 +37,19 @@ def test_thresholds_by_hand(documents):
     assert result(documents(*rows)) == by_hand(rows)
 
 
+def test_copies_and_mostly_boilerplate(documents, monkeypatch):
+    """A text copied to many sites stays; a passage of many texts goes, however much of a document it is."""
+    rows = [(k, "a text that was copied to many sites\nwith all of its lines", f"s{k}") for k in range(30)]
+    passage = "a passage that very many documents have " * 8
+    rows += [(100 + k, f"{passage}\nown line of document {k}", f"s{k}") for k in range(30)]
+    got = result(documents(*rows))
+    assert got == by_hand(rows)
+    assert {n for _, _, n in got} == {0, 1} and all(t == f"own line of document {i - 100}" for i, t, n in got if n)
+    monkeypatch.setattr(line_dedup, "MOST_BYTES", 10)
+    monkeypatch.setattr(common, "MOST_BROADCAST", 1)
+    assert result(documents(*rows)) == got
+
+
 def test_odd_rows(odd):
     rows = [(r.doc_id, r.text, r.source) for r in odd.collect()]
     for least in (1, 2, 3):
