@@ -2,8 +2,10 @@
 
 Texts are parted where no piece can reach across, so equal words are encoded once. All
 substrings of a word that are no longer than the longest piece are exploded and
-equi-joined to the piece table; the matches are the edges of the word's lattice. Edges
-are grouped by word and folded into its pieces by a higher-order aggregate: Viterbi's
+equi-joined to the piece table; the matches are the edges of the word's lattice. Long
+words are parted where no piece has two neighbouring characters; what is still long is
+exploded in overlapping chunks that know their word by a number. Edges are grouped by
+word and folded into its pieces by a higher-order aggregate: Viterbi's
 best path for unigram models, and for BPE models, whose scores order merges rather than
 weigh paths, the merges in that order over the same edges. Characters that no piece
 covers become their UTF-8 bytes.
@@ -30,8 +32,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Pieces that are broadcast at most; a larger table is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Characters of a word that one long's bits can part; longer words are folded in Python.
+#: Characters of a word that one long's bits can part; longer words are parted or chunked, and folded by a queue.
 MOST_BITS = 60
+#: Characters at which substrings of one chunk of a long word begin.
+CHUNK = 64
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 6 << 20
 #: Bytes of text for each bucket that the words are dealt to.
@@ -62,6 +66,10 @@ class Vocabulary:
         inside = {b for p, _, _ in self.pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
         return "".join(c for c in string.punctuation if c not in inside)
 
+    def neighbours(self) -> frozenset[str]:
+        """All two characters that stand side by side in some piece; no piece reaches across others."""
+        return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.pieces), "piece string, id int, score double")
 
@@ -107,10 +115,20 @@ def words_of(text: str) -> list[str]:
     return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ") if text else []
 
 
-def atoms_of(word: str, ends: str) -> tuple[str, ...]:
-    """A word, or a word and the punctuation that ends it, if no piece reaches from one to the other."""
-    core = word.rstrip(ends)
-    return (core, word[len(core) :]) if len(core) < len(word) and core and core[-1].isalpha() else (word,)
+@dataclass(frozen=True)
+class Parting:
+    """Where words may be parted: before the punctuation ``ends``, and in long words between no ``neighbours``."""
+
+    ends: str
+    neighbours: frozenset[str]
+
+    def atoms(self, word: str) -> tuple[str, ...]:
+        """The parts of a word that no piece reaches across."""
+        if len(word) > MOST_BITS:
+            at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.neighbours), len(word)]
+            return tuple(word[a:b] for a, b in zip(at, at[1:], strict=False))
+        core = word.rstrip(self.ends)
+        return (core, word[len(core) :]) if len(core) < len(word) and core and core[-1].isalpha() else (word,)
 
 
 BLOCK = "block long, packed binary"
@@ -137,32 +155,48 @@ def unpack(packed: bytes) -> pa.Table:
     return pa.ipc.open_stream(packed).read_all()
 
 
-def dealt_words(texts: list[str | None], buckets: int, ends: str) -> dict[int, list[str]]:
+def dealt_words(texts: list[str | None], buckets: int, parting: Parting) -> dict[int, list[str]]:
     """The distinct atoms of texts by bucket, sorted; who deals the same texts again gets the same lists."""
     found: set[str] = set()
     for text in texts:
         found.update(words_of(text or ""))
     dealt: dict[int, list[str]] = {}
-    for word in sorted({a for w in found for a in atoms_of(w, ends)}.difference([*BREAKS, ""])):
+    for word in sorted({a for w in found for a in parting.atoms(w)}.difference([*BREAKS, ""])):
         dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
     return dealt
 
 
-def block_words(packed: DataFrame, buckets: int, ends: str) -> DataFrame:
-    """``bucket, words``: the distinct words of each block, dealt to buckets by their hash.
+def name_of(word: str) -> bytes:
+    """16 bytes for a long word."""
+    return hashlib.blake2b(word.encode(), digest_size=16).digest()
+
+
+def chunks_of(word: str, longest: int) -> list[dict]:
+    """A long word in overlapping chunks, so that every substring of a piece's length is in one."""
+    name, n = name_of(word), len(word)
+    return [{"name": name, "n": n, "at": at, "chunk": word[at : at + CHUNK + longest - 1]} for at in range(0, n, CHUNK)]
+
+
+DEALT = "bucket int, words string, chunks array<struct<name:binary,n:int,at:int,chunk:string>>"
+
+
+def block_words(packed: DataFrame, buckets: int, parting: Parting, longest: int) -> DataFrame:
+    """``bucket, words, chunks``: the distinct words of each block, dealt to buckets by their hash; long ones in chunks too.
 
     The block's name comes first, behind a mark: every reader of the exchange then needs
     all its columns, and Spark makes it once.
     """
+    kind = pa.list_(pa.struct([("name", pa.binary()), ("n", pa.int32()), ("at", pa.int32()), ("chunk", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                dealt = dealt_words(unpack(raw).column("text").to_pylist(), buckets, ends)
+                dealt = dealt_words(unpack(raw).column("text").to_pylist(), buckets, parting)
                 listed = [GAP.join([f"{FIELD}{block}", *x]) for x in dealt.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(listed, pa.string())], ["bucket", "words"])
+                chunks = [[c for w in x if len(w) > MOST_BITS for c in chunks_of(w, longest)] for x in dealt.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(listed, pa.string()), pa.array(chunks, kind)], ["bucket", "words", "chunks"])
 
-    return packed.mapInArrow(run, "bucket int, words string")
+    return packed.mapInArrow(run, DEALT)
 
 
 #: Bits of a packed edge: its place in the order of merges, its start, its length.
@@ -183,23 +217,43 @@ def spans(words: DataFrame, longest: int, least: int) -> DataFrame:
     return each.withColumn("piece", F.expr("substring(word, s + 1, l)"))
 
 
+def chunk_spans(chunks: DataFrame, longest: int) -> DataFrame:
+    """``bucket, name, n, s, l, piece``: the same of long words, from chunks ``bucket, name, n, at, chunk``; two characters at least."""
+    each = chunks.withColumn("i", F.explode(F.expr(f"sequence(0, least({CHUNK}, n - at) - 1)"))).where("at + i < n - 1")
+    each = each.withColumn("l", F.explode(F.expr(f"sequence(2, least({longest}, length(chunk) - i))")))
+    return each.select("bucket", "name", "n", (F.col("at") + F.col("i")).alias("s"), "l", F.expr("substring(chunk, i + 1, l)").alias("piece"))
+
+
 def bounded(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
+PACKED = f"shiftleft(cast(place as bigint), {START_BITS + LENGTH_BITS}) | shiftleft(cast(s as bigint), {LENGTH_BITS}) | l"
+
+
+def piece_places(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    order = merge_order(vocabulary)
+    return bounded(spark.createDataFrame(order, "piece string, place int"), len(order))
+
+
 def merge_lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``bucket, word, n, edges``: each word's pieces of two characters and more, packed, first merge first.
 
     ``words`` is partitioned by ``bucket``, so nothing is shuffled. A word without such
     pieces has no row.
     """
-    order = merge_order(vocabulary)
-    pieces = words.sparkSession.createDataFrame(order, "piece string, place int")
-    edges = spans(words, vocabulary.longest, 2).join(bounded(pieces, len(order)), "piece")
-    packed = F.expr(f"shiftleft(cast(place as bigint), {START_BITS + LENGTH_BITS}) | shiftleft(cast(s as bigint), {LENGTH_BITS}) | l")
+    pieces = piece_places(words.sparkSession, vocabulary)
+    edges = spans(words, vocabulary.longest, 2).join(pieces, "piece")
     # The hash comes first: grouping sorts by it, and comparing numbers is quick.
     grouped = edges.withColumn("hash", F.xxhash64("word")).groupBy("hash", "word", "bucket", "n")
-    return grouped.agg(F.sort_array(F.collect_list(packed)).alias("edges")).drop("hash")
+    return grouped.agg(F.sort_array(F.collect_list(F.expr(PACKED))).alias("edges")).drop("hash")
+
+
+def long_lattices(chunks: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """``bucket, name, edges``: the same of long words; a word's chunks are many tasks' work, its edges come together."""
+    each = chunks.distinct().repartition(parts, "name", "at")
+    edges = chunk_spans(each, vocabulary.longest).join(piece_places(chunks.sparkSession, vocabulary), "piece")
+    return edges.groupBy("bucket", "name").agg(F.sort_array(F.collect_list(F.expr(PACKED))).alias("edges"))
 
 
 #: Bit i of ``b`` says that a piece begins or ends before character i. An edge joins the pieces it spans if there
@@ -213,8 +267,8 @@ MERGES = f"""aggregate(
 
 
 def merge_folds(lattices: DataFrame) -> DataFrame:
-    """``bucket, word, borders, edges``: where each word's pieces part, as bits; words that bits don't suit keep edges."""
-    suits = f"n <= {MOST_BITS} and not contains(word, '{MARK}{MARK}')"
+    """``bucket, word, borders, edges``: where each word's pieces part, as bits; words with runs of marks keep edges."""
+    suits = f"not contains(word, '{MARK}{MARK}')"
     return lattices.select(
         "bucket", "word", F.expr(f"if({suits}, {MERGES}, null)").alias("borders"), F.expr(f"if({suits}, null, edges)").alias("edges")
     )
@@ -297,6 +351,7 @@ class Coder:
         self.ids = {p: i for p, i, _ in vocabulary.pieces}
         self.bytes, self.unknown = vocabulary.byte_ids, vocabulary.unknown
         self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes) if i >= 0}
+        self.table = pa.array([self.raw.get(i, b"\xe2\x81\x87") for i in range(max(self.raw, default=-1) + 2)], pa.binary())
 
     def fallback(self, character: str) -> list[int]:
         """The bytes of a character that no piece covers, or the unknown piece."""
@@ -318,11 +373,17 @@ class Coder:
             at += len(self.raw[i].decode()) if i >= 0 else 1
         return out
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """What pieces stand for, of lists that lie end to end; the first mark of each is the one put before the text."""
+        known = (ids >= 0) & (ids < len(self.table))
+        stands = self.table.take(pa.array(np.where(known, ids, len(self.table) - 1)))
+        begins = np.frombuffer(stands.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        stops = begins[ends].tolist()
+        data = stands.buffers()[2].to_pybytes() if len(ids) and stands.buffers()[2] is not None else b""
+        return [data[a:b].removeprefix(b" ") for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
     def text(self, ids: list[int]) -> str:
-        """What pieces stand for; the first mark is the one put before the text."""
-        get = self.raw.get
-        out = b"".join([get(i, b"\xe2\x81\x87") for i in ids]).decode(errors="replace")
-        return out[1:] if out.startswith(" ") else out
+        return self.texts(np.array(ids, np.int64), np.array([len(ids)]))[0].decode(errors="replace")
 
 
 CODED = "doc_id long, ids array<int>, round_trip boolean"
@@ -343,38 +404,53 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         text_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(parts_for(text_bytes, BUCKET_BYTES), 8)
     known = spark.sparkContext.broadcast(vocabulary)
-    ends = vocabulary.after_letters()
+    parting = Parting(vocabulary.after_letters(), vocabulary.neighbours())
     # One exchange, read twice: both readers see the same blocks.
     packed = blocks(docs).repartition(parts_for(text_bytes, BLOCK_BYTES) + 7, "block")
-    dealt = block_words(packed, buckets, ends).repartition(buckets, "bucket")
+    dealt = block_words(packed, buckets, parting, vocabulary.longest).repartition(buckets, "bucket")
     each = dealt.select("bucket", F.explode_outer(F.split("words", GAP)).alias("word"))
-    words = each.where(~F.col("word").startswith(FIELD)).distinct()
     unigram = vocabulary.kind == "unigram"
-    table = viterbi(words, vocabulary) if unigram else merge_folds(merge_lattices(words, vocabulary))
+    most = "length(word) > 0" if unigram else f"length(word) <= {MOST_BITS}"
+    words = each.where(~F.col("word").startswith(FIELD)).where(most).distinct()
+    if unigram:
+        table = viterbi(words, vocabulary)
+    else:
+        chunks = dealt.select("bucket", F.explode("chunks").alias("c")).select("bucket", "c.*")
+        long = long_lattices(chunks, vocabulary, buckets).selectExpr("bucket", "null as word", "name", "null as borders", "edges")
+        table = merge_folds(merge_lattices(words, vocabulary)).selectExpr("bucket", "word", "null as name", "borders", "edges").union(long.selectExpr("bucket", "cast(word as string)", "name", "cast(borders as bigint)", "edges"))
 
     def answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
         entries: dict[str, str] = {}
 
         def enter(word: str, ids: list[int]) -> str:
-            # An id travels as a character; a word that doesn't decode to itself ends with a mark.
-            same = b"".join([coder.raw.get(i, b"") for i in ids]) == word.replace(MARK, " ").encode()
-            entries[word] = "".join([chr(FIRST_ID + i) for i in ids]) + ("" if same else FIELD)
+            # An id travels as a character.
+            entries[word] = "".join([chr(FIRST_ID + i) for i in ids])
             return entries[word]
 
         columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
+        long: dict[bytes, list[int]] = {}
         if unigram:
             for word, path in zip(*columns, strict=True):
                 enter(word, coder.of_path(word, path))
         else:
-            for word, borders, edges in zip(*columns, strict=True):
-                enter(word, coder.of_parts(merged(word, edges) if borders is None else parted(word, borders)))
+            for word, name, borders, edges in zip(*columns, strict=True):
+                if word is None:
+                    long[name] = edges
+                else:
+                    enter(word, coder.of_parts(merged(word, edges) if borders is None else parted(word, borders)))
+
+        def entry(word: str) -> str:
+            if len(word) > MOST_BITS and not unigram:
+                return enter(word, coder.of_parts(merged(word, long.get(name_of(word)))))
+            # A word without an edge has a part for every character.
+            return enter(word, coder.of_parts(list(word)))
+
         names, raw = [], []
         for asked_words in asked.column("words").to_pylist():
             block, *listed = asked_words.split(GAP)
             names.append(int(block.removeprefix(FIELD)))
-            # A word without an edge has a part for every character.
-            raw.append(GAP.join([entries.get(w) or enter(w, coder.of_parts(list(w))) for w in listed]).encode())
+            raw.append(GAP.join([entries.get(w) or entry(w) for w in listed]).encode())
         packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
         return pa.table([pa.array(names, pa.int64()), asked.column("bucket"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "bucket", "size", "pack"])
 
@@ -382,42 +458,39 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
     answers = dealt.groupBy("bucket").cogroup(coded).applyInArrow(answer, "block long, bucket int, size long, pack binary")
 
     class Words(dict):
-        """Ids of words as strings of characters; a word of two atoms has both atoms' ids."""
+        """Ids of words as strings of characters; a word of several atoms has all their ids."""
 
         def __missing__(self, word: str) -> str:
-            atoms = atoms_of(word, ends)
+            atoms = parting.atoms(word)
             if len(atoms) == 1:
-                raise KeyError(f"{word!r} isn't among its block's words; the documents changed while they were read")
+                raise KeyError(f"{word[:99]!r} isn't among its block's words; the documents changed while they were read")
             self[word] = "".join([self[a] for a in atoms])
             return self[word]
 
     def assemble(held: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
         ids = Words({b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
-        odd: set[str] = {b for b in BREAKS if min(coder.bytes) < 0}
         tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
-        dealt = dealt_words(tables[0].column("text").to_pylist(), buckets, ends) if tables else {}
+        dealt = dealt_words(tables[0].column("text").to_pylist(), buckets, parting) if tables else {}
         for bucket, size, pack in zip(*(coded.column(c).to_pylist() for c in ("bucket", "size", "pack")), strict=True):
             entries = pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP)
-            for word, listed in zip(dealt.get(bucket, []), entries, strict=True):
-                if listed.endswith(FIELD):
-                    odd.add(word)
-                    listed = listed[:-1]
-                ids[word] = listed
+            ids.update(zip(dealt.get(bucket, []), entries, strict=True))
         names: list[int | None] = []
-        parts, lengths, trips = [], [0], []
+        texts: list[str | None] = []
+        parts, lengths = [], [0]
         for rows in tables:  # more than one if blocks are equal
             names += rows.column("doc_id").to_pylist()
-            for text in rows.column("text").to_pylist():
-                words = words_of(text or "")
-                joined = "".join(map(ids.__getitem__, words))
-                parts.append(joined.encode("utf-32-le"))
-                lengths.append(len(joined))
-                # Pieces decode one after the other, so a text decodes to itself if all its words do.
-                trips.append(not text or MARK not in text and (not odd or odd.isdisjoint(a for w in words for a in atoms_of(w, ends))))
+            texts += rows.column("text").to_pylist()
+        for text in texts:
+            joined = "".join(map(ids.__getitem__, words_of(text or "")))
+            parts.append(joined.encode("utf-32-le"))
+            lengths.append(len(joined))
         values = np.frombuffer(b"".join(parts), np.uint32).astype(np.int32) - FIRST_ID
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(values, pa.int32()))
-        return pa.table([pa.array(names, pa.int64()), lists, pa.array(trips)], ["doc_id", "ids", "round_trip"])
+        ends = np.cumsum(lengths)
+        # What was put together is decoded whole.
+        trips = [(text or "").encode() == back for text, back in zip(texts, coder.texts(values, ends[1:]), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+        return pa.table([pa.array(names, pa.int64()), lists, pa.array(trips, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, CODED)
 

@@ -76,6 +76,39 @@ def test_both_folds_of_merges_agree(spark):
     assert {r.word: pieces.merged(r.word, r.edges) for r in lattice.collect()} == short
 
 
+def test_long_words(documents, model):
+    """Words without a space: one letter or few, no script that pieces cover, encoded bytes; all linear."""
+    rng = random.Random(4)
+    texts = [
+        "x" * 200_000,
+        "".join(rng.choice("ACGT") for _ in range(50_000)),
+        "".join(rng.choice("的一是不了人我在有他这中大来上国𝔘") for _ in range(50_000)),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000)),
+        "=-" * 20_000 + "internationalization" * 3_000 + " end",
+        "y" * pieces.MOST_BITS + " " + "y" * (pieces.MOST_BITS + 1),
+    ]
+    rows = {r.doc_id: r for r in pieces.encode_documents(documents(*enumerate(texts))).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].ids == model.encode(t) and rows[i].round_trip, i
+
+
+def test_substrings_of_chunks(spark):
+    """Chunks have the substrings of the whole word, each once."""
+    word = "".join(random.Random(2).choice("abc") for _ in range(150))
+    chunks = spark.createDataFrame([(0, c["name"], c["n"], c["at"], c["chunk"]) for c in pieces.chunks_of(word, 7)], "bucket int, name binary, n int, at int, chunk string")
+    got = sorted((r.s, r.l, r.piece) for r in pieces.chunk_spans(chunks, 7).collect())
+    assert got == sorted((s, n, word[s : s + n]) for s in range(150) for n in range(2, 8) if s + n <= 150)
+
+
+def test_round_trip_tells(documents, model):
+    """A text with the mark itself doesn't decode to itself; ids that were put together wrong wouldn't either."""
+    rows = {r.doc_id: r for r in pieces.encode_documents(documents((1, "a▁b"), (2, "a b"))).collect()}
+    assert not rows[1].round_trip and rows[2].round_trip
+    coder = pieces.Coder(pieces.load())
+    ids = model.encode("one two three")
+    assert coder.text(ids) == "one two three" != coder.text(ids[::-1])
+
+
 def test_order_of_merges_must_be_steady():
     fine = [("ab", -1.0), ("bc", -2.0), ("abc", -3.0)]
     late = [("abc", -1.0), ("bc", -2.0)]
