@@ -5,6 +5,10 @@ what is known about the page: its source, language, length and line layout. In e
 round each names the unlabelled documents it is surest of, and the other learns from
 them. The calibrated views are then combined by a small logistic model fitted on
 labelled documents that neither has seen, and every document is scored.
+
+All unlabelled documents take part in every round. Their views are written once; what a
+round needs of them are sums (a histogram of certainty, then the slope and bend of the
+likelihood for each Newton step), which the executors add up before the driver gets them.
 """
 
 from __future__ import annotations
@@ -18,13 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import segments
+from .common import cut, segments
 from .toxicity import fit_logistic, probability
 
-#: Labelled and unlabelled rows that are fitted on at most (by hash, so any are as likely).
-MAX_LABELLED, MAX_POOL = 20_000, 20_000
-#: Rounds, the certainty that a pseudo-label needs, and the share of the pool a view may name in a round.
-ROUNDS, CERTAIN, SHARE = 3, 0.97, 0.1
+#: Labelled rows that are fitted on at most (by hash, so any are as likely).
+MAX_LABELLED = 20_000
+#: Rounds and the Newton steps of one, the certainty that a pseudo-label needs, and the share of the pool a view may name.
+ROUNDS, STEPS, CERTAIN, SHARE = 3, 3, 0.97, 0.1
+#: Weight of all pseudo-labels together against the labels, and of one at most.
+TRUST = 0.3
+#: Log-odds are counted in so many bins up to this bound on either side; tasks that add sums up.
+BOUND, BINS, ADDERS = 12.0, 480, 32
+#: What the combination is without labels: a good document, by both views alike.
+PRIOR = np.array([2.0, 0.5, 0.5])
 #: A document is rejected if it is less likely than this to be good.
 THRESHOLD = 0.2
 
@@ -90,63 +100,100 @@ def with_one(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> Model:
+@dataclass
+class Known:
+    """Labelled rows: both views, the labels, and which are held for the combination."""
+
+    views: tuple[np.ndarray, np.ndarray]
+    y: np.ndarray
+    held: np.ndarray
+
+    def learned(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.views[k][~self.held], self.y[~self.held]
+
+
+def cutoffs(histogram: np.ndarray, good: float) -> tuple[float, float]:
+    """Log-odds from which on a view's good labels, and down to which its bad ones, count: certain, and the surest share only."""
+    edges = np.linspace(-BOUND, BOUND, BINS + 1)
+    certain, most = np.log(CERTAIN / (1 - CERTAIN)), SHARE * histogram.sum()
+    above = np.append(np.cumsum(histogram[::-1])[::-1], 0)
+    below = np.append(0, np.cumsum(histogram))
+    return max(certain, edges[np.argmax(above <= most * good)]), min(-certain, edges[BINS - np.argmax(below[::-1] <= most * (1 - good))])
+
+
+def pseudo(logits: np.ndarray, cut_: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows a view is sure of, and their labels."""
+    sure = np.flatnonzero((logits >= cut_[0]) | (logits <= cut_[1]))
+    return sure, (logits[sure] > 0).astype(float)
+
+
+def logits_of(view: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip(view @ weights, -BOUND, BOUND)
+
+
+def histograms(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.histogram(logits_of(v, w), BINS, (-BOUND, BOUND))[0] for v, w in zip(views, weights, strict=True)]).astype(float)
+
+
+def slopes(views: tuple[np.ndarray, np.ndarray], teachers: list[np.ndarray], cuts: list[tuple[float, float]], weights: list[np.ndarray]) -> np.ndarray:
+    """For each view, of the rows that the other is sure of: their number, the slope and the bend, in a row."""
+    out = []
+    for k in (0, 1):
+        sure, y = pseudo(logits_of(views[1 - k], teachers[1 - k]), cuts[1 - k])
+        x = views[k][sure]
+        p = probability(x, weights[k])
+        out += [[float(len(sure))], x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+    return np.concatenate(out)
+
+
+def stepped(known: Known, k: int, w: np.ndarray, n: float, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
+    """A Newton step of one view on its labels and the other's pseudo-labels."""
+    x, y = known.learned(k)
+    p = probability(x, w)
+    penalty = np.ones(len(w))
+    penalty[0] = 1e-3
+    weight = TRUST * min(1.0, len(y) / n) if n else 0.0
+    hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + weight * bend + np.diag(penalty)
+    step = np.linalg.solve(hessian, x.T @ (y - p) + weight * slope - penalty * w)
+    return w + np.clip(step, -4, 4)
+
+
+def co_train(known: Known, total: Callable[[Callable], np.ndarray]) -> Model:
     """Fit both views on labelled rows, let them teach each other, and combine them.
 
-    A fifth of the labelled rows is kept for the combination. Pseudo-labels keep the
-    classes' shares, so that the surer class doesn't crowd out the other.
+    ``total`` adds up a function of both views over the whole pool. Pseudo-labels keep
+    the classes' shares, so that the surer class doesn't crowd out the other. Without
+    labels nothing is certain, and the model is its prior.
     """
-    if len(y) < 20 or not 0 < y.sum() < len(y):
-        flat = np.zeros(3)
-        flat[0] = 3.0 if not len(y) or y.mean() >= 0.5 else -3.0
-        return Model(np.zeros(views[0].shape[1]), np.zeros(views[1].shape[1]), flat)
-    held = np.random.default_rng(5).random(len(y)) < 0.2
-    known = [v[~held] for v in views]
-    good = float(y[~held].mean())
-    extra: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, int), np.empty(0)), (np.empty(0, int), np.empty(0))]
-    free = np.arange(len(pool[0]))
-    weights: list[np.ndarray] = []
-    for round_ in range(ROUNDS + 1):
-        weights = []
-        for k in (0, 1):
-            rows, labels = extra[k]
-            x = np.concatenate([known[k], pool[k][rows]])
-            trust = np.concatenate([np.ones(len(known[k])), np.full(len(rows), 0.3)])
-            weights.append(fit_logistic(x, np.concatenate([y[~held], labels]), 1.0, trust))
-        if round_ == ROUNDS or not len(free):
-            break
-        taken = np.zeros(len(pool[0]), bool)
-        for k in (0, 1):
-            p = probability(pool[k][free], weights[k])
-            most = max(1, int(SHARE * len(pool[0])))
-            sure_good = free[np.argsort(-p, kind="stable")][: max(1, int(most * good))]
-            sure_bad = free[np.argsort(p, kind="stable")][: max(1, int(most * (1 - good)))]
-            at = dict(zip(free.tolist(), p.tolist(), strict=True))
-            sure_good = np.array([i for i in sure_good.tolist() if at[i] >= CERTAIN], int)
-            sure_bad = np.array([i for i in sure_bad.tolist() if at[i] <= 1 - CERTAIN], int)
-            rows, labels = extra[1 - k]
-            extra[1 - k] = (np.concatenate([rows, sure_good, sure_bad]), np.concatenate([labels, np.ones(len(sure_good)), np.zeros(len(sure_bad))]))
-            taken[sure_good] = taken[sure_bad] = True
-        if not taken.any():
-            break
-        free = free[~taken[free]]
-    model = Model(weights[0], weights[1], np.zeros(3))
-    model.both = fit_logistic(model.views(views[0][held], views[1][held]), y[held], 0.1)
+    weights = [fit_logistic(*known.learned(k)) for k in (0, 1)]
+    y = known.learned(0)[1]
+    good = (y.sum() + 1) / (len(y) + 2)
+    widths_ = [len(w) for w in weights]
+    for _ in range(ROUNDS if len(y) else 0):
+        teachers = list(weights)
+        cuts = [cutoffs(h, good) for h in total(lambda v, w=teachers: histograms(v, w).ravel()).reshape(2, BINS)]
+        for _ in range(STEPS):
+            sums = total(lambda v, t=teachers, c=cuts, w=weights: slopes(v, t, c, w))
+            new, at = [], 0
+            for k, m in enumerate(widths_):
+                n, slope, bend = sums[at], sums[at + 1 : at + 1 + m], sums[at + 1 + m : at + 1 + m + m * m].reshape(m, m)
+                new.append(stepped(known, k, weights[k], n, slope, bend))
+                at += 1 + m + m * m
+            weights = new
+    model = Model(weights[0], weights[1], PRIOR)
+    held = known.held
+    model.both = fit_logistic(model.views(known.views[0][held], known.views[1][held]), known.y[held], 0.1, prior=PRIOR)
     return model
 
 
-def sampled(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool: int) -> DataFrame:
-    """The rows to fit on with their ``quality`` (null in the pool)."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, most_labelled: int) -> DataFrame:
+    """``text, lang, source, n_chars`` of all rows, with their ``quality`` (null in the pool) and whether they are ``held``."""
     known = labels.selectExpr("cast(doc_id as long) as id", "cast(quality as int) as quality").where("id is not null and quality in (0, 1)")
     known = known.groupBy("id").agg(F.min("quality").alias("quality"))
-    n = known.count()
-    known = known.orderBy(F.xxhash64("id"), "id").limit(most_labelled) if n > most_labelled else known
+    known = known.orderBy(F.xxhash64("id"), "id").limit(most_labelled) if known.count() > most_labelled else known
     rows = docs.selectExpr("cast(doc_id as long) as id", "cast(text as string) as text", "cast(lang as string) as lang", "cast(source as string) as source", "cast(n_chars as long) as n_chars")
-    total = docs.count()
-    part = min(1.0, most_pool / max(1, total))
-    in_pool = F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
     # 16 bytes for each of ``most_labelled`` rows at most.
-    return rows.join(F.broadcast(known), "id", "left").where(F.col("quality").isNotNull() | in_pool)
+    return rows.join(F.broadcast(known), "id", "left").selectExpr("text", "lang", "source", "n_chars", "quality", "coalesce(pmod(xxhash64(id, 'held'), 5) = 0, false) as held")
 
 
 def both_views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -157,24 +204,47 @@ def both_views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return with_one(text), with_one(page)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MAX_LABELLED, most_pool: int = MAX_POOL) -> Model:
-    """Learn a model from bounded samples of labelled and of unlabelled rows."""
+WIDTHS = len(text_view("")) + 1, len(page_view("", None, None, None)) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in segments(batches):
-            text, page = both_views(batch)
-            packed = [[x.astype(np.float32).tobytes() for x in v] for v in (text, page)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(p, pa.binary()) for p in packed), batch.column("quality")], ["text", "page", "quality"])
 
-    rows = sampled(docs, labels, most_labelled, most_pool).mapInArrow(run, "text binary, page binary, quality int").collect()
-    widths = len(text_view("")) + 1, len(page_view("", None, None, None)) + 1
+def unpacked(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, w).astype(np.float64) for c, w in zip(("text", "page"), WIDTHS, strict=True))
+
+
+def pool_total(pool: DataFrame) -> Callable[[Callable], np.ndarray]:
+    """Adds up a function of both views over a pool: in each task, then in a few, then on the driver."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.frombuffer(raw) for batch in batches for raw in batch.column("sum").to_pylist()]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(sums, axis=0).tobytes()], pa.binary())], ["sum"])
 
-    def matrix(k: int, labelled: bool) -> np.ndarray:
-        packed = b"".join(bytes(r[k]) for r in rows if (r.quality is not None) == labelled)
-        return np.frombuffer(packed, np.float32).reshape(-1, widths[k]).astype(np.float64)
+    def total(f: Callable) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = f(tuple(np.empty((0, w)) for w in WIDTHS))
+            for batch in batches:
+                sums = sums + f(unpacked(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sum"])
+
+        few = pool.mapInArrow(run, "sum binary").repartition(ADDERS).mapInArrow(added, "sum binary")
+        found = [np.frombuffer(bytes(r["sum"])) for r in few.collect()]
+        return np.sum(found, axis=0) if found else f(tuple(np.empty((0, w)) for w in WIDTHS))
+
+    return total
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MAX_LABELLED) -> Model:
+    """Learn a model from a bounded sample of labelled rows and from all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in segments(batches):
+            packed = [[x.astype(np.float32).tobytes() for x in v] for v in both_views(batch)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(p, pa.binary()) for p in packed), batch.column("quality"), batch.column("held")], ["text", "page", "quality", "held"])
 
-    y = np.array([r.quality for r in rows if r.quality is not None], float)
-    return co_train((matrix(0, True), matrix(1, True)), y, (matrix(0, False), matrix(1, False)))
+    views = cut(labelled_rows(docs, labels, most_labelled).mapInArrow(run, "text binary, page binary, quality int, held boolean"))
+    rows = views.where("quality is not null").toArrow()
+    known = Known(unpacked(rows), rows.column("quality").to_numpy().astype(float), rows.column("held").to_numpy().astype(bool))
+    return co_train(known, pool_total(views.where("quality is null").select("text", "page")))
 
 
 SCORED = "double"
