@@ -32,6 +32,36 @@ def test_clustered_recall(spark):
     assert len(want & got) >= 0.9 * len(want)
 
 
+def test_small_blocks_and_few_queries_a_task(spark, monkeypatch):
+    """Two levels, leaves parted into several blocks, and queries dealt to several tasks find the same."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = {(q, v) for q, _, v, _ in neighbours.brute_force(dict(enumerate(x.astype(float))), 10, 25)}
+    for name, value in (("LEAF_ROWS", 100), ("WIDEST", 6), ("BLOCK_ROWS", 60), ("ASKED_ROWS", 7), ("CELLS", 5000)):
+        monkeypatch.setattr(neighbours, name, value)
+    got = found(df, k=10, every=25)
+    assert len(want & {(q, v) for q, _, v, _ in got}) >= 0.9 * len(want)
+    assert len(got) == 200 * 10
+
+
+def test_blocks():
+    monkey = np.array([10, 3990, 5, 9000, 1, 0, 4000, 4000])
+    blocks = neighbours.Blocks.of(monkey)
+    assert blocks.first.tolist() == [0, 0, 1, 2, 5, 5, 6, 7] and blocks.parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1]
+
+
+def test_leaves_visited_fall_as_vectors_grow(spark):
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (4_000, 32_000):
+        x = rng.normal(size=(n, 16))
+        points = neighbours.cut(spark.createDataFrame([(str(i).encode(), v.tolist()) for i, v in enumerate(x)], "same binary, v array<double>"))
+        tree = neighbours.tree_of(points, n, 2000, 20, 0.95)
+        shares.append(tree.probes / int(tree.first[-1]))
+    assert shares[1] < 0.7 * shares[0]
+
+
 def test_odd_vectors_ties_and_copies(spark):
     rows = [(i, [1.0, 0.5, float(i % 3)]) for i in range(60)]
     rows += [(100 + i, [2.0, 2.0, 2.0]) for i in range(50)]
