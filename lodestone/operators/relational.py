@@ -73,4 +73,5 @@ def distinct_on(df: DataFrame, keys: Sequence[Name], *order: tuple[Name, str] |
     """For each combination of keys, the row that comes first in ``order``."""
     first = [column(k[0]).desc_nulls_first() if isinstance(k, tuple) and k[1] == "desc" else column(k[0] if isinstance(k, tuple) else k).asc_nulls_first() for k in order]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(first or [F.lit(1)])))
-    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+    name = next(f"__place{n}" for n in range(len(df.columns) + 1) if f"__place{n}" not in {c.lower() for c in df.columns})
+    return df.withColumn(name, place).where(F.col(name) == 1).drop(name)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +17,14 @@ from .division import expression_with_divisions
 from .tables import Table
 
 
+@dataclass(frozen=True)
+class Conflict:
+    """What an INSERT does with rows whose key is in the table: nothing, or changes."""
+
+    keys: list[str]
+    changes: dict[str, list[Token]]
+
+
 class Reader:
     """Walks the tokens of a statement."""
 
@@ -139,7 +151,7 @@ class Statements:
             self.tables.drop(name)
         return self.done()
 
-    def append(self, name: str, rows: DataFrame, columns: list[str] | None) -> DataFrame:
+    def append(self, name: str, rows: DataFrame, columns: list[str] | None, conflict: Conflict | None = None) -> DataFrame:
         """Cast rows to a table's columns by position and add them; others get their default or null."""
         table = self.tables.get(name)
         targets = [table.field_of(c) for c in columns] if columns else table.frame.schema.fields
@@ -159,29 +171,97 @@ class Statements:
         for c in sorted(table.required):
             if not added.where(F.col(c).isNull()).isEmpty():
                 raise StatementError(f"column {c!r} can't be null")
+        if conflict is not None:
+            return self.upsert(name, added, conflict)
         self.tables.replace(name, table.frame.unionByName(added))
-        return self.done(added.count())
+        return added
+
+    def upsert(self, name: str, added: DataFrame, conflict: Conflict) -> DataFrame:
+        """Add the rows whose keys aren't in the table, and change those that are; the rows added or changed."""
+        table = self.tables.get(name)
+        keys = [table.field_of(c).name for c in conflict.keys] or sorted(table.required)
+        if not keys:
+            raise StatementError("ON CONFLICT needs columns")
+        same = lambda old, new: reduce(and_, (F.col(f"{old}.{k}") == F.col(f"{new}.{k}") for k in keys))
+        repeated = added.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        if conflict.changes:
+            if not repeated.isEmpty():
+                raise StatementError("two rows of one INSERT have the same key")
+            new = added
+        else:  # of rows with one key the first stays
+            nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id()))
+            whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
+            new = cut(added.withColumn("__nth", F.when(whole, nth).otherwise(1)).where("__nth = 1").drop("__nth"))
+        fresh = cut(new.alias("new").join(table.frame.alias("old"), same("old", "new"), "left_anti"))
+        frame = table.frame
+        done = fresh
+        if conflict.changes:
+            last = name.rsplit(".", 1)[-1].strip("`").lower()
+            pairs = frame.alias(last).join(new.alias("excluded"), same(last, "excluded"), "left")
+            hit = F.col(f"excluded.{keys[0]}").isNotNull()
+            changed = {table.field_of(c).name: F.expr(text_of(self.session.rewritten(x))) for c, x in conflict.changes.items()}
+            columns = [F.when(hit, changed[f.name].cast(f.dataType)).otherwise(F.col(f"{last}.{f.name}")).alias(f.name) if f.name in changed else F.col(f"{last}.{f.name}") for f in frame.schema.fields]
+            flagged = cut(pairs.select(*columns, hit.alias("__hit")))
+            frame = flagged.drop("__hit")
+            done = fresh.unionByName(flagged.where("__hit").drop("__hit"))
+        self.tables.replace(name, frame.unionByName(fresh))
+        return done
+
+    def conflict(self, tokens: list[Token]) -> Conflict:
+        """``ON CONFLICT [(columns)] DO NOTHING`` or ``DO UPDATE SET column = value, …``, where ``excluded`` is the new row."""
+        r = Reader(tokens)
+        r.need("ON", "CONFLICT")
+        keys = [t.text.strip("`") for part in split_by(r.brackets()) for t in part] if r.peek("(") else []
+        r.need("DO")
+        if r.take("NOTHING"):
+            r.end()
+            return Conflict(keys, {})
+        r.need("UPDATE", "SET")
+        parts = split_by(r.rest())
+        if any(len(p) < 3 or p[1].text != "=" for p in parts):
+            raise StatementError("expected column = value")
+        return Conflict(keys, {p[0].text.strip("`"): p[2:] for p in parts})
 
     def insert(self, r: Reader) -> DataFrame:
         r.need("INTO")
         name = r.name()
+        if r.take("AS"):
+            r.name()
+        elif r.rest() and r.rest()[0].kind in ("word", "name") and r.rest()[0].key not in ("VALUES", "SELECT", "FROM", "WITH", "DEFAULT"):
+            r.name()
         columns = [t.text.strip("`") for part in split_by(r.brackets()) for t in part] if r.peek("(") else None
-        if any(t.key in ("CONFLICT", "RETURNING") for t in r.rest()):
-            raise StatementError("ON CONFLICT and RETURNING aren't supported")
-        if r.take("VALUES"):
-            rows = []
-            while True:
-                if not r.peek("("):
-                    raise StatementError("expected a row of values")
-                rows.append(split_by(r.brackets()))
-                if not r.take(","):
-                    break
-            r.end()
-            if len({len(x) for x in rows}) > 1:
-                raise StatementError("rows have different widths")
-            selects = (f"SELECT {', '.join(f'{text_of(v)} AS c{i}' for i, v in enumerate(x))}" for x in rows)
-            return self.append(name, self.session.query_text(" UNION ALL ".join(selects)), columns)
-        return self.append(name, self.query(r.rest()), columns)
+        body, listed, conflict = r.rest(), None, None
+        outer = [i for i in range(len(body)) if sum((t.text == "(") - (t.text == ")") for t in body[:i]) == 0]
+        if at := [i for i in outer if body[i].key == "RETURNING"]:
+            body, listed = body[: at[0]], body[at[0] + 1 :]
+        if at := [i for i in outer if i + 1 < len(body) and (body[i].key, body[i + 1].key) == ("ON", "CONFLICT")]:
+            conflict = self.conflict(body[at[0] :])
+            body = body[: at[0]]
+        done = self.append(name, self.source_of(Reader(body)), columns, conflict)
+        if listed is None:
+            return self.done(done.count())
+        last = name.rsplit(".", 1)[-1].strip("`").lower()
+        view = f"__returned_{next(self.session.views)}"
+        done.createOrReplaceTempView(view)
+        return self.session.query_text(f"SELECT {text_of(listed)} FROM {view} AS `{last}`")
+
+    def source_of(self, r: Reader) -> DataFrame:
+        """The rows that an INSERT adds: VALUES as one inline table, or a query."""
+        if not r.take("VALUES"):
+            return self.query(r.rest())
+        rows = []
+        while True:
+            if not r.peek("("):
+                raise StatementError("expected a row of values")
+            rows.append(split_by(r.brackets()))
+            if not r.take(","):
+                break
+        r.end()
+        if len({len(x) for x in rows}) > 1:
+            raise StatementError("rows have different widths")
+        names = ", ".join(f"c{i}" for i in range(len(rows[0])))
+        listed = ", ".join(f"({', '.join(text_of(v) for v in x)})" for x in rows)
+        return self.session.query_text(f"SELECT * FROM VALUES {listed} AS v({names})")
 
     def expression(self, tokens: list[Token], name: str) -> Column:
         """An expression over a table's columns."""
@@ -260,4 +340,4 @@ class Statements:
         table = self.tables.get(name)
         targets = [table.field_of(c) for c in columns] if columns else table.frame.schema.fields
         schema = ", ".join(f"c{i} string" for i in range(len(targets)))
-        return self.append(name, files.read_csv(self.spark, path, header, delimiter, schema=schema), columns)
+        return self.done(self.append(name, files.read_csv(self.spark, path, header, delimiter, schema=schema), columns).count())

@@ -29,6 +29,12 @@ def read_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql(f"SELECT c_custkey, c_name, c_acctbal FROM read_csv('{path}', delim = ';') WHERE c_nationkey < 5")
 
 
+def read_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, path = session_with(spark, sf_dir, "supplier"), f"{shared_folder(spark)}/supplier"
+    s.sql(f"COPY (SELECT s_suppkey, s_name, s_acctbal FROM supplier) TO '{path}' (FORMAT csv)")
+    return s.sql(f"SELECT k, name, balance FROM read_csv('{path}', header = false, columns = {{'k': 'INT', 'name': 'VARCHAR', 'balance': 'DOUBLE'}})")
+
+
 def read_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, path = session_with(spark, sf_dir, "nation"), f"{shared_folder(spark)}/nation"
     s.sql(f"COPY (SELECT n_nationkey, n_name FROM nation) TO '{path}' (FORMAT json)")
@@ -47,9 +53,10 @@ def copy_from_tbl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT k, name, CAST(balance AS DOUBLE) AS balance FROM loaded")
 
 
-QUERIES = {f.__name__: f for f in (read_csv_roundtrip, read_json_roundtrip, read_parquet_function, copy_from_tbl)}
+QUERIES = {f.__name__: f for f in (read_csv_roundtrip, read_csv_columns, read_json_roundtrip, read_parquet_function, copy_from_tbl)}
 ORACLES = {
     "read_csv_roundtrip": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey < 5",
+    "read_csv_columns": "SELECT CAST(s_suppkey AS BIGINT) AS k, s_name AS name, s_acctbal AS balance FROM supplier",
     "read_json_roundtrip": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation",
     "read_parquet_function": "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 0",
     "copy_from_tbl": "SELECT s_suppkey AS k, s_name AS name, s_acctbal AS balance FROM supplier",

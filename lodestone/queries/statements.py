@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .base import load
 from .files import session_with
 
 
@@ -27,7 +28,26 @@ def insert_columns_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT * FROM people")
 
 
+def catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session_with(spark, sf_dir, "region")
+    s.register_catalog("lake", "raw", "clean")
+    for name, table in (("lake.raw.place", "nation"), ("lake.clean.place", "nation"), ("lake.raw.seller", "supplier")):
+        s.register_table(name, load(spark, sf_dir, table))
+    return s.sql(
+        "SELECT place.n_name AS name, lake.raw.seller.s_suppkey AS k, (SELECT COUNT(*) FROM lake.clean.place WHERE place.n_regionkey = r.r_regionkey) AS n"
+        " FROM lake.raw.place JOIN lake.raw.seller ON place.n_nationkey = seller.s_nationkey, region r"
+        " WHERE lake.raw.place.n_regionkey = r.r_regionkey AND EXISTS (SELECT 1 FROM lake.clean.place p WHERE p.n_nationkey = seller.s_nationkey)"
+    )
+
+
 QUERIES = {
+    "catalog_names": catalog_names,
+    "insert_conflict": script(
+        ("nation",), "CREATE TABLE t (k INT PRIMARY KEY, name VARCHAR, seen INT)", "INSERT INTO t SELECT n_nationkey, n_name, 1 FROM nation WHERE n_regionkey < 3",
+        "INSERT INTO t AS x (k, name, seen) SELECT n_nationkey, 'again', 2 FROM nation WHERE n_regionkey > 1 ON CONFLICT (k) DO UPDATE SET name = excluded.name, seen = t.seen + excluded.seen",
+        "INSERT INTO t SELECT n_nationkey, 'never', 9 FROM nation ON CONFLICT DO NOTHING", "SELECT * FROM t",
+    ),
+    "insert_returning": script(("region",), "CREATE TABLE t (k INT, name VARCHAR)", "INSERT INTO t SELECT r_regionkey, r_name FROM region RETURNING k * 10 AS tens, t.name"),
     "create_table": script((), "CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR, c DECIMAL(10,2) NULL)", "SELECT * FROM t"),
     "ctas": script(("orders",), "CREATE TABLE big AS SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 400000", "SELECT * FROM big"),
     "ctas_from": script(("region",), "CREATE TABLE copy_of AS FROM region", "SELECT * FROM copy_of"),
@@ -49,6 +69,10 @@ QUERIES = {
     "information_schema": script(("region",), "CREATE TABLE t (a INT)", "SELECT table_name, table_type FROM information_schema.tables"),
 }
 ORACLES = {
+    "catalog_names": "SELECT n_name AS name, s_suppkey AS k, (SELECT COUNT(*) FROM nation x WHERE x.n_regionkey = n.n_regionkey) AS n FROM nation n JOIN supplier ON n_nationkey = s_nationkey",
+    "insert_conflict": "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_regionkey > 1 THEN 'again' ELSE n_name END AS name, CAST(CASE WHEN n_regionkey = 2 THEN 3 WHEN n_regionkey > 1 THEN 2 ELSE 1 END AS BIGINT) AS seen FROM nation",
+    "insert_returning": "SELECT CAST(r_regionkey * 10 AS BIGINT) AS tens, r_name AS name FROM region",
+    "show_tables": "SELECT 'lodestone' AS catalog_name, 'public' AS schema_name, t AS table_name, 'LOCAL TEMPORARY' AS table_type FROM (VALUES ('region'), ('nation')) v(t)",
     "create_table": "SELECT CAST(1 AS BIGINT) AS a, 'x' AS b, CAST(1 AS DECIMAL(10,2)) AS c WHERE 1 = 0",
     "ctas": "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 400000",
     "ctas_from": "SELECT * FROM region",

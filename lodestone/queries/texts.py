@@ -62,7 +62,7 @@ SHARED = {
     "join_on_one_side": "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND n_nationkey = n_regionkey",
     "join_filter_after_outer": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 480000 WHERE o_orderkey IS NULL",
     "sort_multi": "SELECT s_nationkey, s_acctbal, s_suppkey FROM supplier ORDER BY s_nationkey ASC, s_acctbal DESC, s_suppkey",
-    "sort_alias": "SELECT o_orderkey AS k, o_totalprice AS price FROM orders ORDER BY price DESC, k LIMIT 25",
+    "sort_alias": "SELECT o_orderkey AS k, o_totalprice AS price FROM orders ORDER BY price DESC, k",
     "limit_zero": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0",
     "offset_beyond": "SELECT r_regionkey FROM region ORDER BY r_regionkey OFFSET 10",
     "derived_table": "SELECT big.k, big.n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) big WHERE big.n > 15",
@@ -112,6 +112,18 @@ OWN = {
         "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey",
         "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1",
     ),
+    "distinct_on_limit": (
+        "SELECT DISTINCT ON (o_custkey) o_custkey AS c, o_orderkey FROM orders ORDER BY c DESC, o_totalprice DESC, o_orderkey LIMIT 9",
+        "SELECT c, o_orderkey FROM (SELECT o_custkey AS c, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1 ORDER BY c DESC LIMIT 9",
+    ),
+    "distinct_on_nested": (
+        "SELECT d.s, COUNT(*) AS n FROM (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderstatus AS s FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey) d GROUP BY d.s",
+        "SELECT s, COUNT(*) AS n FROM (SELECT o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1 GROUP BY s",
+    ),
+    "recursive": (
+        "WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 12) SELECT CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM steps",
+        "WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 12) SELECT CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM steps",
+    ),
     "array_struct_literals": (
         "SELECT array(1, 2, 3)[1] AS second, named_struct('a', 1, 'b', 'x').b AS b",
         "SELECT 2 AS second, 'x' AS b",

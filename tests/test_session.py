@@ -66,7 +66,7 @@ def test_spark_refuses(session, text):
     [
         "", "FROB x", "SELECT 1; SELECT 2", "SELECT 'open", "WITH a AS (SELECT 1), a AS (SELECT 2) SELECT 1", "SELECT CAST(1 AS DECIMAL(40, 2))",
         "CREATE TABLE", "CREATE TABLE x", "CREATE TABLE x (a INT, a INT)", "CREATE TABLE x (a INT FUNNY)", "CREATE TABLE no.such.x (a INT)", "DROP TABLE nowhere", "DROP SCHEMA nowhere",
-        "INSERT INTO nowhere VALUES (1)", "INSERT INTO t VALUES (1)", "INSERT INTO t (v1, v1) VALUES (1, 2)", "INSERT INTO t (zz) VALUES (1)", "INSERT INTO t VALUES (1, 2, 3), (1, 2)", "INSERT INTO t VALUES (1, 2, 3) RETURNING v1", "INSERT INTO t VALUES (1, 2, 3) garbage",
+        "INSERT INTO nowhere VALUES (1)", "INSERT INTO t VALUES (1)", "INSERT INTO t (v1, v1) VALUES (1, 2)", "INSERT INTO t (zz) VALUES (1)", "INSERT INTO t VALUES (1, 2, 3), (1, 2)", "INSERT INTO t VALUES (1, 2, 3) ON CONFLICT (v1) DO DANCE", "INSERT INTO t VALUES (1, 2, 3) ON CONFLICT DO NOTHING", "INSERT INTO t VALUES (1, 2, 3), (1, 2, 3) ON CONFLICT (v1) DO UPDATE SET v2 = 0", "SELECT * FROM read_csv('x', columns = {'a'})", "INSERT INTO t VALUES (1, 2, 3) garbage",
         "INSERT INTO strict VALUES (NULL, 1)", "INSERT INTO strict (b) VALUES (1)", "UPDATE strict SET a = NULL", "UPDATE t SET v1", "DELETE FROM nowhere", "DELETE FROM t garbage", "COPY t FROM 5", "COPY t FROM 'x' (FORMAT json)", "COPY t TO 'x' (COLOUR red)", "SHOW WINDOWS",
         "SELECT * FROM read_csv(5)", "SELECT * FROM read_json('x', header = true)", "SELECT DATE '2020-01-01' + INTERVAL '1.5' DAY", "SELECT DATE '2020-01-01' + INTERVAL 1 / 0 DAY",
     ],
@@ -94,6 +94,42 @@ def test_catalogs(session, spark):
     assert rows(session, "SELECT catalog_name, schema_name FROM information_schema.tables") == [("lake", "raw")]
 
 
+def test_catalog_names_in_queries(session, spark):
+    session.register_catalog("lake", "raw", "clean")
+    session.register_table("lake.raw.t", spark.range(3))
+    session.register_table("lake.clean.t", spark.range(2, 5))
+    assert rows(session, "SELECT t.id, lake.raw.t.id FROM lake.raw.t WHERE t.id > 1") == [(2, 2)]
+    assert rows(session, "SELECT t.* FROM lake.raw.t LIMIT 1") == [(0,)]
+    assert rows(session, "SELECT x.id FROM lake.raw.t x JOIN lake.clean.t AS y ON x.id = y.id") == [(2,)]
+    assert rows(session, "SELECT lake.raw.t.id FROM lake.raw.t JOIN lake.clean.t ON lake.raw.t.id = lake.clean.t.id") == [(2,)]
+    assert rows(session, "SELECT id FROM lake.raw.t WHERE id IN (SELECT t.id FROM lake.clean.t WHERE t.id < 9)") == [(2,)]
+    assert rows(session, "SELECT COUNT(*) FROM lake.raw.t, lake.clean.t c WHERE EXTRACT(YEAR FROM DATE '2020-01-01') = 2020") == [(9,)]
+
+
+def test_distinct_on(session, spark):
+    session.register_table("u", spark.sql("SELECT id % 1000 AS k, id AS x, id % 7 AS __place FROM range(5000)"))
+    got = [r[0] for r in session.sql("SELECT DISTINCT ON (k) k, x FROM u ORDER BY k DESC, x LIMIT 5").collect()]
+    assert got == [999, 998, 997, 996, 995]
+    assert rows(session, "SELECT SUM(d.x) FROM (SELECT DISTINCT ON (k % 2) x FROM u ORDER BY k % 2, x DESC) d") == [(4999 + 4998,)]
+    assert rows(session, "SELECT DISTINCT ON (1) __place, MAX(x) AS m FROM u GROUP BY __place ORDER BY 1, m DESC LIMIT 2") == [(0, 4998), (1, 4999)]
+    assert rows(session, "WITH f AS (SELECT DISTINCT ON (k) k, x FROM u ORDER BY x DESC) SELECT MIN(x) FROM f") == [(4000,)]
+    assert rows(session, "SELECT DISTINCT ON (__place) __place FROM u WHERE k IN (SELECT DISTINCT ON (k) k FROM u ORDER BY k DESC LIMIT 3)") == [(i,) for i in range(7)]
+    assert session.sql("SELECT DISTINCT ON (k) * FROM u").columns == ["k", "x", "__place"]
+
+
+def test_upserts_and_returning(session):
+    session.sql("CREATE TABLE p (k INT PRIMARY KEY, v INT)")
+    assert rows(session, "INSERT INTO p VALUES (1, 10), (2, 20) RETURNING k, v / 3 AS third") == [(1, 3), (2, 6)]
+    assert one(session, "INSERT INTO p VALUES (2, 21), (3, 30), (3, 31) ON CONFLICT DO NOTHING") == (1,)
+    assert one(session, "INSERT INTO p AS q (v, k) VALUES (5, 1), (6, 4) ON CONFLICT (k) DO UPDATE SET v = p.v + excluded.v") == (2,)
+    assert rows(session, "SELECT * FROM p") == [(1, 15), (2, 20), (3, 30), (4, 6)]
+
+
+def test_many_values(session):
+    numbers(session, *((i, -i, None) for i in range(3000)))
+    assert rows(session, "SELECT COUNT(*), SUM(v1), SUM(v2), COUNT(v3) FROM t") == [(3000, 4498500, -4498500, 0)]
+
+
 def test_filters_and_groups(session):
     numbers(session, (1, 4, 2), (2, 3, 3), (3, 4, 4), (4, 3, 5))
     assert rows(session, "SELECT v1, v3 FROM t WHERE v2 > 3") == [(1, 2), (3, 4)]
@@ -194,6 +230,21 @@ def test_functions(session):
     assert rows(session, "SELECT twice(v3), TWICE(v1) + 1 FROM t") == [(6, 3)]
 
 
+def test_aggregate_and_table_functions(session):
+    session.register_udaf("spread", lambda x: float(pc.subtract(pc.max(x), pc.min(x)).as_py()), "double")
+    numbers(session, (1, 4, 2), (1, 9, 3), (2, 5, 4))
+    assert rows(session, "SELECT v1, spread(v2) FROM t GROUP BY v1") == [(1, 5.0), (2, 0.0)]
+
+    class Upto:
+        def eval(self, n: int):
+            for i in range(n):
+                yield i, i * i
+
+    session.register_udtf("upto", Upto, "i int, square int")
+    assert rows(session, "SELECT * FROM upto(3)") == [(0, 0), (1, 1), (2, 4)]
+    assert rows(session, "SELECT v3, square FROM t, LATERAL upto(CAST(v1 AS INT)) WHERE v1 = 2") == [(4, 0), (4, 1)]
+
+
 def test_defaults(session, spark):
     session.register_table("p", spark.createDataFrame([], "id long, name string"), defaults={"name": "nobody"}, required=("id",))
     session.sql("INSERT INTO p (id) VALUES (1)")
