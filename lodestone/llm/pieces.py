@@ -4,8 +4,8 @@ Texts are parted where no piece can reach across, so equal words are encoded onc
 substrings of a word that are no longer than the longest piece are exploded and
 equi-joined to the piece table; the matches are the edges of the word's lattice. Long
 words are parted where no piece has two neighbouring characters; what is still long is
-exploded in overlapping chunks that know their word by a number. Edges are grouped by
-word and folded into its pieces by a higher-order aggregate: Viterbi's
+exploded in overlapping chunks, whose edges are put together where the word is. Edges are
+grouped by word and folded into its pieces by a higher-order aggregate: Viterbi's
 best path for unigram models, and for BPE models, whose scores order merges rather than
 weigh paths, the merges in that order over the same edges. Characters that no piece
 covers become their UTF-8 bytes.
@@ -44,6 +44,8 @@ BUCKET_BYTES = 8 << 20
 FIRST_ID = 0x10000
 #: Between words that travel together; between fields of an encoded word.
 GAP, FIELD = "\ufdd0", "\ufdd1"
+#: Before a chunk of a long word.
+PIECE_OF = FIELD + FIELD
 #: Characters that are parts of their own; they aren't looked up.
 BREAKS = f"\n{GAP}{FIELD}"
 
@@ -117,10 +119,15 @@ def words_of(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Parting:
-    """Where words may be parted: before the punctuation ``ends``, and in long words between no ``neighbours``."""
+    """Where words may be parted: before the punctuation ``ends``, and in long words between no ``neighbours``.
+
+    What is long even so is looked up in chunks of ``CHUNK`` characters and as many more
+    as the longest piece reaches (0 if whole words are looked up).
+    """
 
     ends: str
     neighbours: frozenset[str]
+    longest: int
 
     def atoms(self, word: str) -> tuple[str, ...]:
         """The parts of a word that no piece reaches across."""
@@ -130,6 +137,12 @@ class Parting:
         core = word.rstrip(self.ends)
         return (core, word[len(core) :]) if len(core) < len(word) and core and core[-1].isalpha() else (word,)
 
+    def entries(self, atom: str) -> list[str]:
+        """What is looked up for an atom: itself, or its chunks behind a mark."""
+        if len(atom) <= MOST_BITS or not self.longest:
+            return [atom]
+        return [PIECE_OF + atom[at : at + CHUNK + self.longest - 1] for at in range(0, len(atom), CHUNK)]
+
 
 BLOCK = "block long, packed binary"
 
@@ -156,47 +169,32 @@ def unpack(packed: bytes) -> pa.Table:
 
 
 def dealt_words(texts: list[str | None], buckets: int, parting: Parting) -> dict[int, list[str]]:
-    """The distinct atoms of texts by bucket, sorted; who deals the same texts again gets the same lists."""
+    """What is looked up for texts by bucket, sorted; who deals the same texts again gets the same lists."""
     found: set[str] = set()
     for text in texts:
         found.update(words_of(text or ""))
     dealt: dict[int, list[str]] = {}
-    for word in sorted({a for w in found for a in parting.atoms(w)}.difference([*BREAKS, ""])):
+    atoms = {a for w in found for a in parting.atoms(w)}.difference([*BREAKS, ""])
+    for word in sorted({e for a in atoms for e in parting.entries(a)} if any(len(a) > MOST_BITS for a in atoms) else atoms):
         dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
     return dealt
 
 
-def name_of(word: str) -> bytes:
-    """16 bytes for a long word."""
-    return hashlib.blake2b(word.encode(), digest_size=16).digest()
-
-
-def chunks_of(word: str, longest: int) -> list[dict]:
-    """A long word in overlapping chunks, so that every substring of a piece's length is in one."""
-    name, n = name_of(word), len(word)
-    return [{"name": name, "n": n, "at": at, "chunk": word[at : at + CHUNK + longest - 1]} for at in range(0, n, CHUNK)]
-
-
-DEALT = "bucket int, words string, chunks array<struct<name:binary,n:int,at:int,chunk:string>>"
-
-
-def block_words(packed: DataFrame, buckets: int, parting: Parting, longest: int) -> DataFrame:
-    """``bucket, words, chunks``: the distinct words of each block, dealt to buckets by their hash; long ones in chunks too.
+def block_words(packed: DataFrame, buckets: int, parting: Parting) -> DataFrame:
+    """``bucket, words``: the distinct words (and chunks) of each block, dealt to buckets by their hash.
 
     The block's name comes first, behind a mark: every reader of the exchange then needs
     all its columns, and Spark makes it once.
     """
-    kind = pa.list_(pa.struct([("name", pa.binary()), ("n", pa.int32()), ("at", pa.int32()), ("chunk", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 dealt = dealt_words(unpack(raw).column("text").to_pylist(), buckets, parting)
                 listed = [GAP.join([f"{FIELD}{block}", *x]) for x in dealt.values()]
-                chunks = [[c for w in x if len(w) > MOST_BITS for c in chunks_of(w, longest)] for x in dealt.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(listed, pa.string()), pa.array(chunks, kind)], ["bucket", "words", "chunks"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(listed, pa.string())], ["bucket", "words"])
 
-    return packed.mapInArrow(run, DEALT)
+    return packed.mapInArrow(run, "bucket int, words string")
 
 
 #: Bits of a packed edge: its place in the order of merges, its start, its length.
@@ -210,18 +208,12 @@ def merge_order(vocabulary: Vocabulary) -> list[tuple[str, int]]:
 
 
 def spans(words: DataFrame, longest: int, least: int) -> DataFrame:
-    """``bucket, word, n, s, l, piece``: every substring of ``least`` to ``longest`` characters."""
-    each = words.withColumn("n", F.length("word")).where(F.col("n") >= least)
-    each = each.withColumn("s", F.explode(F.expr(f"sequence(0, n - {least})")))
+    """``bucket, word, n, s, l, piece``: every substring of ``least`` to ``longest`` characters; of a chunk those that begin in it."""
+    mark, chunk = len(PIECE_OF), F.col("word").startswith(PIECE_OF)
+    each = words.withColumn("skip", F.when(chunk, mark).otherwise(0)).withColumn("n", F.expr("length(word) - skip")).where(F.col("n") >= least)
+    each = each.withColumn("s", F.explode(F.expr(f"sequence(0, if(skip > 0, least({CHUNK - 1}, n - {least}), n - {least}))")))
     each = each.withColumn("l", F.explode(F.expr(f"sequence({least}, least({longest}, n - s))")))
-    return each.withColumn("piece", F.expr("substring(word, s + 1, l)"))
-
-
-def chunk_spans(chunks: DataFrame, longest: int) -> DataFrame:
-    """``bucket, name, n, s, l, piece``: the same of long words, from chunks ``bucket, name, n, at, chunk``; two characters at least."""
-    each = chunks.withColumn("i", F.explode(F.expr(f"sequence(0, least({CHUNK}, n - at) - 1)"))).where("at + i < n - 1")
-    each = each.withColumn("l", F.explode(F.expr(f"sequence(2, least({longest}, length(chunk) - i))")))
-    return each.select("bucket", "name", "n", (F.col("at") + F.col("i")).alias("s"), "l", F.expr("substring(chunk, i + 1, l)").alias("piece"))
+    return each.withColumn("piece", F.expr("substring(word, skip + s + 1, l)")).drop("skip")
 
 
 def bounded(table: DataFrame, rows: int) -> DataFrame:
@@ -249,13 +241,6 @@ def merge_lattices(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return grouped.agg(F.sort_array(F.collect_list(F.expr(PACKED))).alias("edges")).drop("hash")
 
 
-def long_lattices(chunks: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
-    """``bucket, name, edges``: the same of long words; a word's chunks are many tasks' work, its edges come together."""
-    each = chunks.distinct().repartition(parts, "name", "at")
-    edges = chunk_spans(each, vocabulary.longest).join(piece_places(chunks.sparkSession, vocabulary), "piece")
-    return edges.groupBy("bucket", "name").agg(F.sort_array(F.collect_list(F.expr(PACKED))).alias("edges"))
-
-
 #: Bit i of ``b`` says that a piece begins or ends before character i. An edge joins the pieces it spans if there
 #: are exactly two; edges come in the order of merges, and a merge never makes an earlier one possible
 #: (:func:`steady`), so one pass does all.
@@ -267,8 +252,8 @@ MERGES = f"""aggregate(
 
 
 def merge_folds(lattices: DataFrame) -> DataFrame:
-    """``bucket, word, borders, edges``: where each word's pieces part, as bits; words with runs of marks keep edges."""
-    suits = f"not contains(word, '{MARK}{MARK}')"
+    """``bucket, word, borders, edges``: where each word's pieces part, as bits; words with runs of marks, and chunks, keep edges."""
+    suits = f"not contains(word, '{MARK}{MARK}') and not startswith(word, '{FIELD}')"
     return lattices.select(
         "bucket", "word", F.expr(f"if({suits}, {MERGES}, null)").alias("borders"), F.expr(f"if({suits}, null, edges)").alias("edges")
     )
@@ -404,20 +389,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         text_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(parts_for(text_bytes, BUCKET_BYTES), 8)
     known = spark.sparkContext.broadcast(vocabulary)
-    parting = Parting(vocabulary.after_letters(), vocabulary.neighbours())
+    unigram = vocabulary.kind == "unigram"
+    parting = Parting(vocabulary.after_letters(), vocabulary.neighbours(), 0 if unigram else vocabulary.longest)
     # One exchange, read twice: both readers see the same blocks.
     packed = blocks(docs).repartition(parts_for(text_bytes, BLOCK_BYTES) + 7, "block")
-    dealt = block_words(packed, buckets, parting, vocabulary.longest).repartition(buckets, "bucket")
+    dealt = block_words(packed, buckets, parting).repartition(buckets, "bucket")
     each = dealt.select("bucket", F.explode_outer(F.split("words", GAP)).alias("word"))
-    unigram = vocabulary.kind == "unigram"
-    most = "length(word) > 0" if unigram else f"length(word) <= {MOST_BITS}"
-    words = each.where(~F.col("word").startswith(FIELD)).where(most).distinct()
-    if unigram:
-        table = viterbi(words, vocabulary)
-    else:
-        chunks = dealt.select("bucket", F.explode("chunks").alias("c")).select("bucket", "c.*")
-        long = long_lattices(chunks, vocabulary, buckets).selectExpr("bucket", "null as word", "name", "null as borders", "edges")
-        table = merge_folds(merge_lattices(words, vocabulary)).selectExpr("bucket", "word", "null as name", "borders", "edges").union(long.selectExpr("bucket", "cast(word as string)", "name", "cast(borders as bigint)", "edges"))
+    words = each.where(~F.col("word").startswith(FIELD) | F.col("word").startswith(PIECE_OF)).distinct()
+    table = viterbi(words, vocabulary) if unigram else merge_folds(merge_lattices(words, vocabulary))
 
     def answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
@@ -429,28 +408,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
             return entries[word]
 
         columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
-        long: dict[bytes, list[int]] = {}
         if unigram:
             for word, path in zip(*columns, strict=True):
                 enter(word, coder.of_path(word, path))
         else:
-            for word, name, borders, edges in zip(*columns, strict=True):
-                if word is None:
-                    long[name] = edges
+            for word, borders, edges in zip(*columns, strict=True):
+                if word.startswith(PIECE_OF):
+                    entries[word] = ",".join(map(str, edges))
                 else:
                     enter(word, coder.of_parts(merged(word, edges) if borders is None else parted(word, borders)))
-
-        def entry(word: str) -> str:
-            if len(word) > MOST_BITS and not unigram:
-                return enter(word, coder.of_parts(merged(word, long.get(name_of(word)))))
-            # A word without an edge has a part for every character.
-            return enter(word, coder.of_parts(list(word)))
-
         names, raw = [], []
         for asked_words in asked.column("words").to_pylist():
             block, *listed = asked_words.split(GAP)
             names.append(int(block.removeprefix(FIELD)))
-            raw.append(GAP.join([entries.get(w) or entry(w) for w in listed]).encode())
+            # A word without an edge has a part for every character, a chunk without one has none.
+            raw.append(GAP.join([entries.get(w) or ("" if w.startswith(PIECE_OF) else enter(w, coder.of_parts(list(w)))) for w in listed]).encode())
         packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
         return pa.table([pa.array(names, pa.int64()), asked.column("bucket"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "bucket", "size", "pack"])
 
@@ -458,18 +430,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
     answers = dealt.groupBy("bucket").cogroup(coded).applyInArrow(answer, "block long, bucket int, size long, pack binary")
 
     class Words(dict):
-        """Ids of words as strings of characters; a word of several atoms has all their ids."""
+        """Ids of words as strings of characters; a word of several atoms has all their ids, a long one those of its chunks' edges."""
+
+        def __init__(self, coder: Coder, first: dict[str, str]) -> None:
+            super().__init__(first)
+            self.coder = coder
 
         def __missing__(self, word: str) -> str:
-            atoms = parting.atoms(word)
-            if len(atoms) == 1:
+            atoms, entries = parting.atoms(word), parting.entries(word)
+            if len(atoms) > 1:
+                self[word] = "".join([self[a] for a in atoms])
+            elif entries[0].startswith(PIECE_OF) and all(e in self for e in entries):
+                edges = [int(e) + (k * CHUNK << LENGTH_BITS) for k, x in enumerate(entries) if self[x] for e in self[x].split(",")]
+                self[word] = "".join([chr(FIRST_ID + i) for i in self.coder.of_parts(merged(word, edges))])
+            else:
                 raise KeyError(f"{word[:99]!r} isn't among its block's words; the documents changed while they were read")
-            self[word] = "".join([self[a] for a in atoms])
             return self[word]
 
     def assemble(held: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
-        ids = Words({b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
+        ids = Words(coder, {b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
         tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
         dealt = dealt_words(tables[0].column("text").to_pylist(), buckets, parting) if tables else {}
         for bucket, size, pack in zip(*(coded.column(c).to_pylist() for c in ("bucket", "size", "pack")), strict=True):

@@ -95,9 +95,13 @@ def test_long_words(documents, model):
 def test_substrings_of_chunks(spark):
     """Chunks have the substrings of the whole word, each once."""
     word = "".join(random.Random(2).choice("abc") for _ in range(150))
-    chunks = spark.createDataFrame([(0, c["name"], c["n"], c["at"], c["chunk"]) for c in pieces.chunks_of(word, 7)], "bucket int, name binary, n int, at int, chunk string")
-    got = sorted((r.s, r.l, r.piece) for r in pieces.chunk_spans(chunks, 7).collect())
-    assert got == sorted((s, n, word[s : s + n]) for s in range(150) for n in range(2, 8) if s + n <= 150)
+    entries = pieces.Parting("", frozenset(), 7).entries(word)
+    assert len(entries) == 3
+    got = []
+    for k, e in enumerate(entries):
+        found = pieces.spans(spark.createDataFrame([(0, e)], "bucket int, word string"), 7, 2).collect()
+        got += [(k * pieces.CHUNK + r.s, r.l, r.piece) for r in found]
+    assert sorted(got) == sorted((s, n, word[s : s + n]) for s in range(150) for n in range(2, 8) if s + n <= 150)
 
 
 def test_round_trip_tells(documents, model):
