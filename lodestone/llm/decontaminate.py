@@ -15,13 +15,14 @@ documents; a benchmark of any size is a number of passes, not a larger broadcast
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, segments
+from .common import cut, row_key, segments, spread_join
 
 #: Bytes of item text that one pass broadcasts at most.
 BLOCK_BYTES = 16 << 20
@@ -29,7 +30,7 @@ WINDOW_WORDS = 8
 #: A-Z become a-z, other word bytes stay (all of any character beyond ASCII), the rest part words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Identifies a row; equal rows have equal results.
-ROW = "xxhash64(cast(doc_id as long), cast(text as string), 'row')"
+ROW = row_key("cast(doc_id as long)", "cast(text as string)")
 #: Word numbers that no item has: a word outside the items, the gap between documents, and padding.
 OUTSIDE, GAP, PAD = -1, -2, -3
 
@@ -132,11 +133,11 @@ def covered(starts: np.ndarray, widths: np.ndarray) -> list[list[int]]:
     return runs
 
 
-FOUND = "row long, doc_id long, n_words long, runs array<array<long>>, items array<long>"
+FOUND = "row binary, doc_id long, n_words long, runs array<array<long>>, items array<long>"
 
 
-def occurrences(docs: DataFrame, items: list[tuple], window: int, row: str) -> DataFrame:
-    """One pass: for every document its words, the runs of hit words and the items found."""
+def occurrences(docs: DataFrame, items: list[tuple], window: int, row: str, hits_only: bool = False) -> DataFrame:
+    """One pass: for every document (or only those with a hit) its words, the runs of hit words and the items found."""
     spark = docs.sparkSession
     windows = spark.sparkContext.broadcast(Windows(items, window))
 
@@ -169,7 +170,7 @@ def occurrences(docs: DataFrame, items: list[tuple], window: int, row: str) -> D
             for d, i, j in zip(hit.tolist(), at.tolist(), np.append(at, len(doc))[1:].tolist(), strict=True):
                 runs[d] = covered(start[i:j] - first[d], w.width[window[i:j]])
                 found[d] = sorted({x for k in np.unique(window[i:j]).tolist() for x in w.items[k] if x is not None})
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
                     batch.column("doc_id"),
@@ -179,6 +180,7 @@ def occurrences(docs: DataFrame, items: list[tuple], window: int, row: str) -> D
                 ],
                 ["row", "doc_id", "n_words", "runs", "items"],
             )
+            yield out.take(pa.array(hit)) if hits_only else out
 
     return docs.selectExpr(f"{row} as row", "doc_id", "text").mapInArrow(find, FOUND)
 
@@ -212,25 +214,27 @@ def find_contamination(
     hits nothing. Other columns aren't read.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text")
-    passes, blocks = None, 1
-    for n, items in enumerate(blocks_of(benchmark, item_id_col, item_text_col, block_bytes)):
-        # Equal rows have equal results, so passes meet by a hash of the row.
-        found = occurrences(rows, items, window, ROW)
-        passes = found if n == 0 else cut(passes.unionByName(found))
-        blocks = n + 1
-    if passes is None:
-        passes = occurrences(rows, [], window, ROW)
-    if blocks > 1:
-        merged = passes.groupBy("row", "doc_id", "n_words").agg(
-            F.flatten(F.collect_list("runs")).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
+    blocks = blocks_of(benchmark, item_id_col, item_text_col, block_bytes)
+    items, more = next(blocks, []), next(blocks, None)
+    # With one block every row has its result at once. Of several, the first pass alone gives all rows, the others their hits.
+    passes = occurrences(rows, items, window, ROW)
+    if more is not None:
+        found = [cut(passes)]
+        while more is not None:
+            found.append(cut(occurrences(rows, more, window, ROW, hits_only=True)))
+            more = next(blocks, None)
+        hits = reduce(DataFrame.unionByName, (x.where(F.size("runs") > 0) for x in found))
+        merged = hits.groupBy("row").agg(
+            F.flatten(F.collect_set("runs")).alias("all_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("all_items")
         )
-        join_runs = """aggregate(array_sort(runs), cast(array() as array<array<bigint>>), (out, r) ->
+        join_runs = """aggregate(array_sort(all_runs), cast(array() as array<array<bigint>>), (out, r) ->
             if(size(out) > 0 and r[0] <= element_at(out, -1)[1],
                concat(slice(out, 1, size(out) - 1), array(array(element_at(out, -1)[0], greatest(r[1], element_at(out, -1)[1])))),
                concat(out, array(r))))"""
-        passes = merged.withColumn("runs", F.expr(join_runs)).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+        merged = merged.select("row", F.expr(join_runs).alias("all_runs"), "all_items")
+        # Equal rows have equal results, so passes meet by what a row holds; copies of one row are dealt to many tasks.
+        passes = spread_join(found[0], merged, "row", "left")
+        passes = passes.withColumn("runs", F.coalesce("all_runs", "runs")).withColumn("items", F.coalesce("all_items", "items"))
     return passes.select("row", "doc_id", "n_words", "runs", "items")
 
 
