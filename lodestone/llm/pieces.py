@@ -169,12 +169,12 @@ def unpack(packed: bytes) -> pa.Table:
 
 
 def dealt_words(texts: list[str | None], buckets: int, parting: Parting) -> dict[int, list[str]]:
-    """What is looked up for texts by bucket, sorted; who deals the same texts again gets the same lists."""
+    """What is looked up for texts by bucket, sorted."""
     found: set[str] = set()
     for text in texts:
         found.update(words_of(text or ""))
-    dealt: dict[int, list[str]] = {}
     atoms = {a for w in found for a in parting.atoms(w)}.difference([*BREAKS, ""])
+    dealt: dict[int, list[str]] = {}
     for word in sorted({e for a in atoms for e in parting.entries(a)} if any(len(a) > MOST_BITS for a in atoms) else atoms):
         dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
     return dealt
@@ -422,12 +422,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
             block, *listed = asked_words.split(GAP)
             names.append(int(block.removeprefix(FIELD)))
             # A word without an edge has a part for every character, a chunk without one has none.
-            raw.append(GAP.join([entries.get(w) or ("" if w.startswith(PIECE_OF) else enter(w, coder.of_parts(list(w)))) for w in listed]).encode())
+            found = [entries.get(w) or ("" if w.startswith(PIECE_OF) else enter(w, coder.of_parts(list(w)))) for w in listed]
+            raw.append(f"{GAP.join(listed)}\n{GAP.join(found)}".encode())
         packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
-        return pa.table([pa.array(names, pa.int64()), asked.column("bucket"), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "bucket", "size", "pack"])
+        return pa.table([pa.array(names, pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "size", "pack"])
 
     coded = table.withColumnRenamed("bucket", "of").groupBy("of")
-    answers = dealt.groupBy("bucket").cogroup(coded).applyInArrow(answer, "block long, bucket int, size long, pack binary")
+    answers = dealt.groupBy("bucket").cogroup(coded).applyInArrow(answer, "block long, size long, pack binary")
 
     class Words(dict):
         """Ids of words as strings of characters; a word of several atoms has all their ids, a long one those of its chunks' edges."""
@@ -451,18 +452,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         coder = Coder(known.value)
         ids = Words(coder, {b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
         tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
-        dealt = dealt_words(tables[0].column("text").to_pylist(), buckets, parting) if tables else {}
-        for bucket, size, pack in zip(*(coded.column(c).to_pylist() for c in ("bucket", "size", "pack")), strict=True):
-            entries = pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP)
-            ids.update(zip(dealt.get(bucket, []), entries, strict=True))
-        names: list[int | None] = []
-        texts: list[str | None] = []
+        texts = [t for rows in tables for t in rows.column("text").to_pylist()]  # of more than one if blocks are equal
+        split = [words_of(t or "") for t in texts]
+        for size, pack in zip(*(coded.column(c).to_pylist() for c in ("size", "pack")), strict=True):
+            listed, _, found = pa.decompress(pack, size, "zstd", asbytes=True).decode().partition("\n")
+            ids.update(zip(listed.split(GAP), found.split(GAP), strict=True))
+        names = [i for rows in tables for i in rows.column("doc_id").to_pylist()]
         parts, lengths = [], [0]
-        for rows in tables:  # more than one if blocks are equal
-            names += rows.column("doc_id").to_pylist()
-            texts += rows.column("text").to_pylist()
-        for text in texts:
-            joined = "".join(map(ids.__getitem__, words_of(text or "")))
+        for words in split:
+            joined = "".join(map(ids.__getitem__, words))
             parts.append(joined.encode("utf-32-le"))
             lengths.append(len(joined))
         values = np.frombuffer(b"".join(parts), np.uint32).astype(np.int32) - FIRST_ID

@@ -32,6 +32,12 @@ def test_odd_rows(odd, spark):
     assert secrets.op1_secrets(odd.limit(0)).count() == 0
 
 
+def test_expressions_are_read():
+    """The parser of expressions is Python's own and not part of its public library; this fails if it changes."""
+    for pattern, kind in (("abcd", "and"), ("abcd|wxyz", "or"), ("[0-9a-f]+", "all")):
+        assert secrets.trigram_query(pattern)[0] == kind
+
+
 def test_case_and_code_points(documents):
     row = secrets.op1_secrets(documents((1, "𝔘ß SeCrEt\x20=\x20'abcdef' paſſword=abcdefgh"))).first()
     assert row.spans == "assign:3:19"
