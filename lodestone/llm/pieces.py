@@ -46,6 +46,8 @@ FIRST_ID = 0x10000
 GAP, FIELD = "\ufdd0", "\ufdd1"
 #: Before a chunk of a long word.
 PIECE_OF = FIELD + FIELD
+#: Sent words are compressed so.
+PACK_LEVEL = 6
 #: Characters that are parts of their own; they aren't looked up.
 BREAKS = f"\n{GAP}{FIELD}"
 
@@ -336,7 +338,10 @@ class Coder:
         self.ids = {p: i for p, i, _ in vocabulary.pieces}
         self.bytes, self.unknown = vocabulary.byte_ids, vocabulary.unknown
         self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes) if i >= 0}
-        self.table = pa.array([self.raw.get(i, b"\xe2\x81\x87") for i in range(max(self.raw, default=-1) + 2)], pa.binary())
+        size = range(max(self.raw, default=-1) + 2)
+        self.table = pa.array([self.raw.get(i, b"\xe2\x81\x87") for i in size], pa.binary())
+        spelled = {i: p.encode() for p, i in self.ids.items()}
+        self.spelled = pa.array([spelled.get(i, self.raw.get(i, b"\xe2\x81\x87")) for i in size], pa.binary())
 
     def fallback(self, character: str) -> list[int]:
         """The bytes of a character that no piece covers, or the unknown piece."""
@@ -358,14 +363,23 @@ class Coder:
             at += len(self.raw[i].decode()) if i >= 0 else 1
         return out
 
-    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """What pieces stand for, of lists that lie end to end; the first mark of each is the one put before the text."""
-        known = (ids >= 0) & (ids < len(self.table))
-        stands = self.table.take(pa.array(np.where(known, ids, len(self.table) - 1)))
+    def strung(self, table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """What a table has for the ids of lists that lie end to end, strung together for each."""
+        known = (ids >= 0) & (ids < len(table))
+        stands = table.take(pa.array(np.where(known, ids, len(table) - 1)))
         begins = np.frombuffer(stands.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
         stops = begins[ends].tolist()
         data = stands.buffers()[2].to_pybytes() if len(ids) and stands.buffers()[2] is not None else b""
-        return [data[a:b].removeprefix(b" ") for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """What pieces stand for; the first mark of each list is the one put before the text."""
+        return [x.removeprefix(b" ") for x in self.strung(self.table, ids, ends)]
+
+    def words(self, coded: list[str]) -> list[str]:
+        """The words that ids as characters spell."""
+        ids = np.frombuffer("".join(coded).encode("utf-32-le"), np.uint32).astype(np.int64) - FIRST_ID
+        return [x.decode() for x in self.strung(self.spelled, ids, np.cumsum(list(map(len, coded)), dtype=np.int64))]
 
     def text(self, ids: list[int]) -> str:
         return self.texts(np.array(ids, np.int64), np.array([len(ids)]))[0].decode(errors="replace")
@@ -401,10 +415,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
     def answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
         entries: dict[str, str] = {}
+        spelled = coder.spelled.to_pylist()
 
         def enter(word: str, ids: list[int]) -> str:
-            # An id travels as a character.
-            entries[word] = "".join([chr(FIRST_ID + i) for i in ids])
+            # An id travels as a character. Words that their pieces don't spell travel with them.
+            coded = "".join([chr(FIRST_ID + i) for i in ids])
+            same = b"".join([spelled[i] for i in ids]) == word.encode()
+            entries[word] = coded if same else f"{FIELD}{word}{FIELD}{coded}"
             return entries[word]
 
         columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
@@ -414,7 +431,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         else:
             for word, borders, edges in zip(*columns, strict=True):
                 if word.startswith(PIECE_OF):
-                    entries[word] = ",".join(map(str, edges))
+                    entries[word] = f"{word}{FIELD}{','.join(map(str, edges))}"
                 else:
                     enter(word, coder.of_parts(merged(word, edges) if borders is None else parted(word, borders)))
         names, raw = [], []
@@ -422,9 +439,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
             block, *listed = asked_words.split(GAP)
             names.append(int(block.removeprefix(FIELD)))
             # A word without an edge has a part for every character, a chunk without one has none.
-            found = [entries.get(w) or ("" if w.startswith(PIECE_OF) else enter(w, coder.of_parts(list(w)))) for w in listed]
-            raw.append(f"{GAP.join(listed)}\n{GAP.join(found)}".encode())
-        packs = [pa.compress(x, "zstd", asbytes=True) for x in raw]
+            found = [entries.get(w) or (f"{w}{FIELD}" if w.startswith(PIECE_OF) else enter(w, coder.of_parts(list(w)))) for w in listed]
+            raw.append(GAP.join(found).encode())
+        packs = [pa.Codec("zstd", PACK_LEVEL).compress(x, asbytes=True) for x in raw]
         return pa.table([pa.array(names, pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array(packs, pa.binary())], names=["block", "size", "pack"])
 
     coded = table.withColumnRenamed("bucket", "of").groupBy("of")
@@ -453,14 +470,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
         ids = Words(coder, {b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
         tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
         texts = [t for rows in tables for t in rows.column("text").to_pylist()]  # of more than one if blocks are equal
-        split = [words_of(t or "") for t in texts]
-        for size, pack in zip(*(coded.column(c).to_pylist() for c in ("size", "pack")), strict=True):
-            listed, _, found = pa.decompress(pack, size, "zstd", asbytes=True).decode().partition("\n")
-            ids.update(zip(listed.split(GAP), found.split(GAP), strict=True))
+        entries = [e for size, pack in zip(coded.column("size").to_pylist(), coded.column("pack").to_pylist(), strict=True) for e in pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP)]
+        plain = [e for e in entries if e[0] != FIELD]
+        ids.update(zip(coder.words(plain), plain, strict=True))
+        for e in entries:
+            if e[0] == FIELD:
+                word, _, coded_as = e.rpartition(FIELD)
+                ids[word if word.startswith(PIECE_OF) else word[1:]] = coded_as
         names = [i for rows in tables for i in rows.column("doc_id").to_pylist()]
         parts, lengths = [], [0]
-        for words in split:
-            joined = "".join(map(ids.__getitem__, words))
+        for text in texts:
+            joined = "".join(map(ids.__getitem__, words_of(text or "")))
             parts.append(joined.encode("utf-32-le"))
             lengths.append(len(joined))
         values = np.frombuffer(b"".join(parts), np.uint32).astype(np.int32) - FIRST_ID
