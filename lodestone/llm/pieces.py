@@ -171,15 +171,22 @@ def unpack(packed: bytes) -> pa.Table:
 
 
 def dealt_words(texts: list[str | None], buckets: int, parting: Parting) -> dict[int, list[str]]:
-    """What is looked up for texts by bucket, sorted."""
+    """What is looked up for texts by bucket, each once."""
     found: set[str] = set()
     for text in texts:
         found.update(words_of(text or ""))
-    atoms = {a for w in found for a in parting.atoms(w)}.difference([*BREAKS, ""])
-    dealt: dict[int, list[str]] = {}
-    for word in sorted({e for a in atoms for e in parting.entries(a)} if any(len(a) > MOST_BITS for a in atoms) else atoms):
-        dealt.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
-    return dealt
+    found.difference_update([*BREAKS, ""])
+    ends = frozenset(parting.ends)
+    other = [w for w in found if w[-1] in ends or len(w) > MOST_BITS]
+    found.difference_update(other)
+    for w in other:
+        for atom in parting.atoms(w):
+            found.update(parting.entries(atom) if len(atom) > MOST_BITS else (atom,))
+    dealt: list[list[str]] = [[] for _ in range(buckets)]
+    crc = zlib.crc32
+    for word in found:
+        dealt[crc(word.encode()) % buckets].append(word)
+    return {i: words for i, words in enumerate(dealt) if words}
 
 
 def block_words(packed: DataFrame, buckets: int, parting: Parting) -> DataFrame:
@@ -338,6 +345,7 @@ class Coder:
         self.ids = {p: i for p, i, _ in vocabulary.pieces}
         self.bytes, self.unknown = vocabulary.byte_ids, vocabulary.unknown
         self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes) if i >= 0}
+        self.character = {p: chr(FIRST_ID + i) for p, i in self.ids.items()}
         size = range(max(self.raw, default=-1) + 2)
         self.table = pa.array([self.raw.get(i, b"\xe2\x81\x87") for i in size], pa.binary())
         spelled = {i: p.encode() for p, i in self.ids.items()}
@@ -348,12 +356,13 @@ class Coder:
         out = [self.bytes[b] for b in character.encode()]
         return out if min(out) >= 0 else [self.unknown]
 
-    def of_parts(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            out += [i] if i is not None else self.fallback(p)
-        return out
+    def characters(self, ids: list[int]) -> str:
+        return "".join([chr(FIRST_ID + i) for i in ids])
+
+    def of_parts(self, parts: list[str]) -> str:
+        """The ids of parts, as characters."""
+        get = self.character.get
+        return "".join([get(p) or self.characters(self.fallback(p)) for p in parts])
 
     def of_path(self, word: str, ids: list[int]) -> list[int]:
         """A path's ids with the bytes of uncovered characters in place of -1."""
@@ -415,19 +424,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
     def answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
         entries: dict[str, str] = {}
-        spelled = coder.spelled.to_pylist()
+        unknown = chr(FIRST_ID + coder.unknown)
 
-        def enter(word: str, ids: list[int]) -> str:
+        def enter(word: str, coded: str) -> str:
             # An id travels as a character. Words that their pieces don't spell travel with them.
-            coded = "".join([chr(FIRST_ID + i) for i in ids])
-            same = b"".join([spelled[i] for i in ids]) == word.encode()
-            entries[word] = coded if same else f"{FIELD}{word}{FIELD}{coded}"
+            entries[word] = coded if unknown not in coded else f"{FIELD}{word}{FIELD}{coded}"
             return entries[word]
 
         columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
         if unigram:
             for word, path in zip(*columns, strict=True):
-                enter(word, coder.of_path(word, path))
+                enter(word, coder.characters(coder.of_path(word, path)))
         else:
             for word, borders, edges in zip(*columns, strict=True):
                 if word.startswith(PIECE_OF):
@@ -455,19 +462,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
             self.coder = coder
 
         def __missing__(self, word: str) -> str:
-            atoms, entries = parting.atoms(word), parting.entries(word)
+            atoms = parting.atoms(word)
             if len(atoms) > 1:
-                self[word] = "".join([self[a] for a in atoms])
-            elif entries[0].startswith(PIECE_OF) and all(e in self for e in entries):
+                self[word] = coded = "".join([self[a] for a in atoms])
+                return coded
+            entries = parting.entries(word)
+            if entries[0].startswith(PIECE_OF) and all(e in self for e in entries):
                 edges = [int(e) + (k * CHUNK << LENGTH_BITS) for k, x in enumerate(entries) if self[x] for e in self[x].split(",")]
-                self[word] = "".join([chr(FIRST_ID + i) for i in self.coder.of_parts(merged(word, edges))])
+                self[word] = self.coder.of_parts(merged(word, edges))
             else:
                 raise KeyError(f"{word[:99]!r} isn't among its block's words; the documents changed while they were read")
             return self[word]
 
     def assemble(held: pa.Table, coded: pa.Table) -> pa.Table:
         coder = Coder(known.value)
-        ids = Words(coder, {b: "".join(chr(FIRST_ID + i) for i in coder.fallback(b)) for b in BREAKS} | {"": ""})
+        ids = Words(coder, {b: coder.characters(coder.fallback(b)) for b in BREAKS} | {"": ""})
         tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
         texts = [t for rows in tables for t in rows.column("text").to_pylist()]  # of more than one if blocks are equal
         entries = [e for size, pack in zip(coded.column("size").to_pylist(), coded.column("pack").to_pylist(), strict=True) for e in pa.decompress(pack, size, "zstd", asbytes=True).decode().split(GAP)]
