@@ -8,7 +8,7 @@ labelled documents that neither has seen, and every document is scored.
 
 All unlabelled documents take part in every round. Their views are written once; what a
 round needs of them are sums (a histogram of certainty, then the slope and bend of the
-likelihood for each Newton step), which the executors add up before the driver gets them.
+likelihood for each step), which the executors add up before the driver gets them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .toxicity import fit_logistic, probability
 
 #: Labelled rows that are fitted on at most (by hash, so any are as likely).
 MAX_LABELLED = 20_000
-#: Rounds and the Newton steps of one, the certainty that a pseudo-label needs, and the share of the pool a view may name.
+#: Rounds and the steps of one, the certainty that a pseudo-label needs, and the share of the pool a view may name.
 ROUNDS, STEPS, CERTAIN, SHARE = 3, 3, 0.97, 0.1
 #: Weight of all pseudo-labels together against the labels, and of one at most.
 TRUST = 0.3
@@ -136,26 +136,28 @@ def histograms(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray])
 
 
 def slopes(views: tuple[np.ndarray, np.ndarray], teachers: list[np.ndarray], cuts: list[tuple[float, float]], weights: list[np.ndarray]) -> np.ndarray:
-    """For each view, of the rows that the other is sure of: their number, the slope and the bend, in a row."""
+    """For each view, of the rows that the other is sure of: their number, the slope and the most it can bend, in a row."""
     out = []
     for k in (0, 1):
         sure, y = pseudo(logits_of(views[1 - k], teachers[1 - k]), cuts[1 - k])
         x = views[k][sure]
         p = probability(x, weights[k])
-        out += [[float(len(sure))], x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+        out += [[float(len(sure))], x.T @ (y - p), (x.T @ x / 4).ravel()]
     return np.concatenate(out)
 
 
 def stepped(known: Known, k: int, w: np.ndarray, n: float, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
-    """A Newton step of one view on its labels and the other's pseudo-labels."""
+    """A step of one view on its labels and the other's pseudo-labels.
+
+    The bend is the most it can be, as if all chances were even. Such a step never
+    overshoots, however sure the other view is of what this one calls impossible.
+    """
     x, y = known.learned(k)
-    p = probability(x, w)
     penalty = np.ones(len(w))
     penalty[0] = 1e-3
     weight = TRUST * min(1.0, len(y) / n) if n else 0.0
-    hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + weight * bend + np.diag(penalty)
-    step = np.linalg.solve(hessian, x.T @ (y - p) + weight * slope - penalty * w)
-    return w + np.clip(step, -4, 4)
+    slope = x.T @ (y - probability(x, w)) + weight * slope - penalty * w
+    return w + np.linalg.solve(x.T @ x / 4 + weight * bend + np.diag(penalty), slope)
 
 
 def co_train(known: Known, total: Callable[[Callable], np.ndarray]) -> Model:

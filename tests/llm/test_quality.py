@@ -51,8 +51,10 @@ def fitted_by_hand(docs, labels, held):
             extra = [] if teacher is None else [(i, float(c > 0), 0.3 * min(1, len(learned) / len(teacher))) for i, c in teacher.items()]
             for i, label, weight in [(i, y[i], 1.0) for i in learned] + extra:
                 p = 1 / (1 + np.exp(-min(30.0, max(-30.0, float(rows[i][k] @ w)))))
-                slope, bend = slope + weight * (label - p) * rows[i][k], bend + weight * p * (1 - p) * np.outer(rows[i][k], rows[i][k])
-            w = w + np.clip(np.linalg.solve(bend, slope), -4, 4)
+                slope = slope + weight * (label - p) * rows[i][k]
+                bend = bend + weight * (p * (1 - p) if teacher is None else 0.25) * np.outer(rows[i][k], rows[i][k])
+            step = np.linalg.solve(bend, slope)
+            w = w + (np.clip(step, -4, 4) if teacher is None else step)
         return w
 
     weights = [fit(k, np.zeros(quality.WIDTHS[k]), 25) for k in (0, 1)]
@@ -79,6 +81,20 @@ def test_fit_by_hand(spark):
     assert np.abs(model.text - text).max() < 1e-3 and np.abs(model.page - page).max() < 1e-3
 
 
+def test_a_view_that_is_surely_wrong():
+    """One view is certain of what the other calls impossible, of many more rows than have labels: neither runs away."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(30_000) < 0.85).astype(float)
+    one = quality.with_one(np.column_stack([y * 40 + rng.normal(size=30_000), rng.normal(size=30_000)]))
+    two = quality.with_one(np.column_stack([y * 40 + rng.normal(size=30_000), rng.normal(size=30_000)]))
+    two[600:8000, 1] = 40 - two[600:8000, 1]
+    few, pool = slice(0, 600), slice(600, 29_000)
+    known = quality.Known((one[few], two[few]), y[few], np.arange(600) % 5 == 0)
+    model = quality.co_train(known, lambda f: f((one[pool], two[pool])))
+    right = ((model.score(one[29_000:], two[29_000:]) > 0.2) == (y[29_000:] > 0.5)).mean()
+    assert right > 0.98 and max(np.abs(model.text).max(), np.abs(model.page).max()) < 30
+
+
 def test_whole_pool_is_read(spark, monkeypatch):
     """Every unlabelled row adds to every sum."""
     seen = []
