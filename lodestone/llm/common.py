@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import remove, shared_root
 
-__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "bounded", "cut", "parts_for", "row_key", "segments", "spread_join", "text_hashes"]
+__all__ = ["DOCUMENT_COLUMNS", "SEGMENT_BYTES", "bounded", "cut", "parts_for", "release", "row_key", "segments", "spread_join", "text_hashes"]
 
 #: Columns of a documents table, in the order pipeline stages return them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -72,6 +73,14 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 
 
+def release() -> None:
+    """Give memory that nothing uses back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def segments(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SEGMENT_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, segments
+from .common import parts_for, release, segments
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -39,7 +39,7 @@ CHUNK = 64
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 6 << 20
 #: Bytes of text for each bucket that the words are dealt to.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Ids travel as characters from here on.
 FIRST_ID = 0x10000
 #: Between words that travel together; between fields of an encoded word.
@@ -201,7 +201,10 @@ def block_words(packed: DataFrame, buckets: int, parting: Parting) -> DataFrame:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 dealt = dealt_words(unpack(raw).column("text").to_pylist(), buckets, parting)
                 listed = [GAP.join([f"{FIELD}{block}", *x]) for x in dealt.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int32()), pa.array(listed, pa.string())], ["bucket", "words"])
+                buckets_of = pa.array(list(dealt), pa.int32())
+                del dealt
+                release()
+                yield pa.RecordBatch.from_arrays([buckets_of, pa.array(listed, pa.string())], ["bucket", "words"])
 
     return packed.mapInArrow(run, "bucket int, words string")
 
@@ -431,6 +434,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
             entries[word] = coded if unknown not in coded else f"{FIELD}{word}{FIELD}{coded}"
             return entries[word]
 
+        release()
         columns = [coded.column(c).to_pylist() for c in coded.schema.names if c != "of"]
         if unigram:
             for word, path in zip(*columns, strict=True):
@@ -475,6 +479,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_bytes: int | None = Non
             return self[word]
 
     def assemble(held: pa.Table, coded: pa.Table) -> pa.Table:
+        release()
         coder = Coder(known.value)
         ids = Words(coder, {b: coder.characters(coder.fallback(b)) for b in BREAKS} | {"": ""})
         tables = [unpack(raw) for raw in held.column("packed").to_pylist()]
