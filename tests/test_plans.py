@@ -32,7 +32,7 @@ def test_subqueries_are_joins(spark, name, kind):
     assert kind in plan(spark, name)
 
 
-@pytest.mark.parametrize("name", ["top_n", "sort_alias", "limit_offset", "tpch_q3", "tpch_q10"])
+@pytest.mark.parametrize("name", ["top_n", "sort_desc_nulls_first", "limit_offset", "tpch_q3", "tpch_q10"])
 def test_top_n(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
